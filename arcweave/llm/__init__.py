@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules whose QUERIES and ORACLE_SQL are registered, in the order of the operators' numbers.
-MODULES = ("token_counts", "quality", "packing", "license_scan")
+MODULES = ("toxicity", "token_counts", "langid", "quality", "packing", "license_scan")
 
 
 def queries() -> dict:

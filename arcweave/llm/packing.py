@@ -31,7 +31,9 @@ from arcweave.llm.common import small_batches, stored, table
 
 TOKENIZER, WINDOW, END_ID = "byte_bpe_50k.json", 2048, 1
 #: Words that a worker remembers, about 250 bytes each.
-MEMO = 500_000
+MEMO = 1_000_000
+#: Words that one call to the library encodes.
+JOINED = 400
 
 _chunk = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _other_space = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
@@ -57,14 +59,34 @@ class Ids:
             out += [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)]
         return out
 
+    def learn(self, pieces: set[str]) -> None:
+        """Encode new pieces. Those that are a blank and a word are joined, so that one call serves many, and told apart by the tokens' offsets; a full stop or comma that ends a word after a letter is a token of its own, so the word without it is looked up."""
+        new = {x for x in pieces if x not in self.known}
+        if len(self.known) + len(new) > self.memo:
+            self.known.clear()
+            new = set(pieces)
+        ended = {x for x in new if x[-1] in ",." and x[-2:-1].isascii() and x[-2:-1].isalpha()}
+        words = (new - ended) | {x[:-1] for x in ended if x[:-1] not in self.known}
+        joined = [x for x in words if x[0] == " " and len(x) < 64 and x.find(" ", 1) < 0 and "\n" not in x and "<|" not in x]
+        others = list(words.difference(joined)) + [",", "."]
+        self.known.update(zip(others, self.encoded(others), strict=True))
+        groups = [joined[k : k + JOINED] for k in range(0, len(joined), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids, data = np.asarray(e.ids, dtype="<u4"), self.known
+            ends = np.cumsum([len(x) for x in group])
+            # A token's offset lies inside its word (the blank is trimmed off), so words end where the next one's first token begins.
+            cuts = np.searchsorted(np.asarray([o for o, _ in e.offsets], dtype=np.int64), ends)
+            at = 0
+            for x, to in zip(group, cuts.tolist(), strict=True):
+                data[x] = ids[at:to].tobytes()
+                at = to
+        for x in ended:
+            self.known[x] = self.known[x[:-1]] + self.known[x[-1]]
+
     def of(self, texts: list[str]) -> list[bytes]:
         plain = [not _other_space.search(t) for t in texts]
         pieces = [_chunk.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
-        new = list({x for p in pieces if p for x in p} - self.known.keys())
-        if len(self.known) + len(new) > self.memo:
-            self.known.clear()
-            new = list({x for p in pieces if p for x in p})
-        self.known.update(zip(new, self.encoded(new), strict=True))
+        self.learn({x for p in pieces if p for x in p})
         known = self.known
         return [self.encoded([t])[0] if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, pieces, strict=True)]
 

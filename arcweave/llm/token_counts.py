@@ -44,7 +44,7 @@ class Encoder:
         self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
 
     def learn(self, words: list[bytes]) -> None:
-        new = list(set(words) - self.known.keys())
+        new = [w for w in set(words) if w not in self.known]
         if new:
             if len(self.known) + len(new) > self.memo:
                 self.known.clear()
