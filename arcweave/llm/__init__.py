@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules whose QUERIES and ORACLE_SQL are registered, in the order of the operators' numbers.
-MODULES = ("toxicity", "token_counts", "langid", "sharding", "near_dedup", "quality", "packing", "license_scan", "decontam")
+MODULES = ("url_filter", "toxicity", "token_counts", "langid", "sharding", "near_dedup", "quality", "packing", "license_scan", "decontam")
 
 
 def queries() -> dict:
