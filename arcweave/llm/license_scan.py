@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import ALNUM_WORD, ASCII_LOWER, small_batches, table
+from arcweave.llm.common import ALNUM_WORD, ascii_lower, small_batches, table
 
 #: Phrases whose every place is counted, with their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -27,6 +27,8 @@ TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "permission is hereby granted"),
     ("mit", "released under the MIT license", "mit license"),
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "apache license"),
+    ("apache", "Licensed under the Apache License, Version 2.0", "apache license"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3", "gnu general public license"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "general public license"),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "lesser general public license"),
     ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "affero general public license"),
@@ -49,7 +51,7 @@ _word = re.compile(ALNUM_WORD)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _word.findall((text or "").translate(ASCII_LOWER))
+    return _word.findall(ascii_lower(text))
 
 
 class Index:
@@ -68,19 +70,22 @@ class Index:
     def weigh(self, frequency: dict[str, int], n_docs: int) -> None:
         """IDF of each licence word from document counts, and of each template as a whole."""
         self.idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) + 1e-6 for w in self.vocabulary}
-        self.mass = [sum(self.idf[w] for w in set(ws)) for ws in self.words]
+        self.sums = [{w: self.idf[w] for w in ws} for ws in self.words]
+        self.mass = [sum(x.values()) for x in self.sums]
 
     def scan(self, words: list[str]) -> tuple[set[str], float]:
         """Labels of the templates that stand in the words, and the largest share of a template's IDF found in place."""
         present = self.vocabulary.intersection(words)
-        if not present:
+        within = {t for t, mass in enumerate(self.mass) if self.sums[t].keys() & present and sum(self.sums[t][w] for w in self.sums[t].keys() & present) >= SHARE * mass}
+        if not within:  # no template has enough of its IDF anywhere in the file
             return set(), 0.0
         rare = frozenset(sorted(present, key=lambda w: (-self.idf[w], w))[:RAREST])
         at: dict[int, dict[int, set[str]]] = defaultdict(lambda: defaultdict(set))
         for k, w in enumerate(words):
             if w in rare:
                 for t, p in self.postings[w]:
-                    at[t][k - p].add(w)
+                    if t in within:
+                        at[t][k - p].add(w)
         labels, best = set(), 0.0
         for t, shifts in at.items():
             share = 0.0
@@ -134,7 +139,7 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[str], text: str
         for batch in batches:
             for t in batch.column("__text").to_pylist():
                 n += 1
-                for w in vocabulary.intersection(pattern.findall((t or "").translate(ASCII_LOWER))):
+                for w in vocabulary.intersection(pattern.findall(ascii_lower(t))):
                     counts[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.string()), pa.array([n, *counts.values()], pa.int64())], names=["word", "n"])
 
@@ -153,7 +158,6 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None
     index.weigh(*document_frequencies(docs, index.vocabulary, text))
     new = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double"}
     kept = [c for c in docs.columns if c != text and c not in new]
-    state = (templates or TEMPLATES, index.idf, index.mass)
 
     def row(index: Index, words: list[str]) -> tuple:
         places = base_places(words)
@@ -163,11 +167,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None
         return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if base else score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Index(state[0])
-        own.idf, own.mass = state[1:]
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
         for batch in batches:
-            columns = list(zip(*(row(own, words_of(t)) for t in batch.column("__text").to_pylist()), strict=True)) or [[]] * 7
+            columns = list(zip(*(row(index, words_of(t)) for t in batch.column("__text").to_pylist()), strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*kept, *new])
 
     left = docs.select(*(F.col(f"`{c}`") for c in kept))

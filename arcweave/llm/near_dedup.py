@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import ASCII_LOWER, SPACED_WORD, dropped, small_batches, stored, table
+from arcweave.llm.common import SPACED_WORD, ascii_lower, dropped, small_batches, stored, table
 
 SHINGLE, PERCENT = 5, 75
 #: Trees, signature values of each, and values that neighbours must share at least. At similarity s and depth 2 a pair shares no tree with probability (1 - s*s)**TREES: 5e-5 at 0.75.
@@ -57,7 +57,7 @@ class Shingler:
 
     def of(self, text: str | None, width: int = SHINGLE) -> np.ndarray:
         """The sorted distinct shingle hashes of a text; the whole sequence as one for fewer words than ``width``; none without words."""
-        words = _word.findall((text or "").translate(ASCII_LOWER))
+        words = _word.findall(ascii_lower(text))
         if not words:
             return np.zeros(0, dtype=np.uint64)
         known = self.known
