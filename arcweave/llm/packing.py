@@ -322,10 +322,15 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     return uncut.select(order).unionByName(cut.select(order)).unionByName(full.select(order))
 
 
-def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed."""
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_stage(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
 QUERIES = {"op8_packing": op8_packing}
