@@ -83,17 +83,18 @@ def scores(urls: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def calibrate(scored: DataFrame) -> float:
-    """The threshold (a multiple of 1/BINS) with the best mean of the shares of accepted URLs at or above and rejected URLs below it, from (score, allow) rows; of equal ones the nearest to 0. 0 if either kind is missing.
+    """The threshold with the best mean of the shares of accepted URLs at or above and rejected URLs below it, from (score, allow) rows; of equal ones the nearest to 0. 0 if either kind is missing.
 
     Scores are mean log ratios, so bins are few whatever the number of rows."""
     rows = scored.groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.sum("allow").alias("a"), F.sum(1 - F.col("allow")).alias("b")).where("bin IS NOT NULL").collect()
     total_a, total_b = sum(r["a"] for r in rows), sum(r["b"] for r in rows)
     if not total_a or not total_b:
         return 0.0
-    best, below_a, below_b = [], 0, 0
+    best, below_a, below_b, last = [], 0, 0, None
     for r in sorted(rows, key=lambda r: r["bin"]):
-        best.append((-((total_a - below_a) * total_b + below_b * total_a), abs(r["bin"]), r["bin"]))
-        below_a, below_b = below_a + r["a"], below_b + r["b"]
+        cut = r["bin"] if last is None else (last + 1 + r["bin"]) / 2  # halfway between neighbouring scores
+        best.append((below_a * total_b - below_b * total_a, abs(cut), cut))
+        below_a, below_b, last = below_a + r["a"], below_b + r["b"], r["bin"]
     return min(best)[2] / BINS
 
 
@@ -119,8 +120,46 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataF
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url", "score")
+
+
+def _sql() -> str:
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    fits = lambda own, tail: f"(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{tail}')"
+    longest = sorted(RULES, key=lambda x: -len(x[1]))
+    rule = " ".join(f"WHEN {fits(*r.split('/', 1))} THEN '{r}'" for _, r in longest)
+    allowed = ", ".join(f"'{r}'" for v, r in RULES if v == "allow")
+    digits = ", ".join(f"'{c}'" for c in HELD_OUT)
+    levels = f"p0 AS (SELECT g, (a + {WEIGHT} / {ALPHABET}) / (ta + {WEIGHT}) AS pa, (b + {WEIGHT} / {ALPHABET}) / (tb + {WEIGHT}) AS pb FROM kept WHERE length(g) = 1)"
+    for k in range(1, ORDER + 1):
+        levels += f""",
+p{k} AS (SELECT x.g, (x.a + {WEIGHT} * s.pa) / (c.a + {WEIGHT}) AS pa, (x.b + {WEIGHT} * s.pb) / (c.b + {WEIGHT}) AS pb
+  FROM kept x JOIN kept c ON c.g = substr(x.g, 1, {k}) JOIN p{k - 1} s ON s.g = substr(x.g, 2) WHERE length(x.g) = {k + 1})"""
+    model = " UNION ALL ".join(f"SELECT g, ln(pa) - ln(pb) AS llr FROM p{k}" for k in range(ORDER + 1))
+    joins = " ".join(f"LEFT JOIN m m{k} ON i > {k} AND m{k}.g = substr(u, i - {k}, {k + 1})" for k in range(ORDER + 1))
+    best = ", ".join(f"m{k}.llr" for k in reversed(range(ORDER + 1)))
+    return f"""
+WITH p AS (SELECT page_id, translate(url, {lower}) AS u, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*', 0), {lower}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+d AS (SELECT *, CASE {rule} END AS rule FROM h),
+l AS (SELECT u, (rule IN ({allowed}))::BIGINT AS allow, substr(md5(u), 1, 1) IN ({digits}) AS held FROM d WHERE rule IS NOT NULL AND length(u) > 0),
+t AS (SELECT u, allow FROM l WHERE NOT held),
+ti AS (SELECT u, allow, unnest(range(1, length(u) + 1)) AS i FROM t),
+grams AS (SELECT allow, substr(u, i - k, k + 1) AS g FROM ti, (SELECT unnest(range({ORDER + 1})) AS k) WHERE i > k),
+tot AS (SELECT coalesce(sum(length(u) * allow), 0) AS ta, coalesce(sum(length(u) * (1 - allow)), 0) AS tb FROM t),
+kept AS (SELECT g, a, b, ta, tb FROM (SELECT g, sum(allow) AS a, sum(1 - allow) AS b FROM grams GROUP BY g), tot WHERE a + b >= greatest(2, ceil((ta + tb) / {STATES}.0))),
+{levels},
+m AS ({model}),
+us AS (SELECT DISTINCT u FROM d WHERE rule IS NULL AND length(u) > 0 UNION SELECT u FROM l WHERE held),
+ui AS (SELECT u, unnest(range(1, length(u) + 1)) AS i FROM us),
+sc AS (SELECT u, round(avg(coalesce({best}, 0.0)), 9) AS score FROM ui {joins} GROUP BY u),
+bins AS (SELECT floor(score * {BINS}) AS bin, sum(allow) AS a, sum(1 - allow) AS b FROM (SELECT u, max(allow) AS allow FROM l WHERE held GROUP BY u) JOIN sc USING (u) GROUP BY ALL),
+cuts AS (SELECT coalesce((lag(bin) OVER o + 1 + bin) / 2, bin) AS cut, coalesce(sum(a) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below_a,
+  coalesce(sum(b) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below_b, sum(a) OVER () AS all_a, sum(b) OVER () AS all_b FROM bins WINDOW o AS (ORDER BY bin)),
+cut AS (SELECT coalesce((SELECT cut / {BINS} FROM cuts WHERE all_a > 0 AND all_b > 0 ORDER BY below_a * all_b - below_b * all_a, abs(cut), cut LIMIT 1), 0.0) AS t)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ({allowed}) THEN 'allow' WHEN rule IS NULL AND score >= t THEN 'allow' ELSE 'block' END AS verdict FROM d LEFT JOIN sc ON d.u = sc.u AND rule IS NULL, cut
+"""
 
 
 QUERIES = {"op1_url_filter": op1_url_filter}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_url_filter": _sql()}
