@@ -25,6 +25,12 @@ def sink_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     return sinks(pages, links).select(F.col("id").alias("src")).crossJoin(pages.select(F.col("id").alias("dst")))
 
 
+def sink_link_counts(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, links): how many links each sink would get in ``sink_links``, without building them."""
+    n = pages.agg(F.count("*").alias("links"))  # one row
+    return sinks(pages, links).select(F.col("id").alias("src")).crossJoin(F.broadcast(n))
+
+
 def pagerank(pages: DataFrame, links: DataFrame, beta: float = BETA, epsilon: float = EPSILON, max_iterations: int = 10, fixed: bool = False, keep_unlinked: bool = True, strict: bool = False) -> DataFrame:
     """(id, value). Stops when no rank moves by more than epsilon, or after ``max_iterations`` steps (always all of them if ``fixed``).
 

@@ -71,6 +71,12 @@ def test_pagerank(arcs, nodes):
     assert dict(rows(pagerank.pagerank(nodes.select("id"), arcs, epsilon=1e-10, max_iterations=100)))[4] == pytest.approx(0.276528160, abs=1e-8)
 
 
+def test_sink_links(arcs, nodes):
+    assert rows(pagerank.sinks(nodes.select("id"), arcs)) == [(5,)]
+    assert rows(pagerank.sink_links(nodes.select("id"), arcs)) == [(5, k) for k in range(1, 6)]
+    assert rows(pagerank.sink_link_counts(nodes.select("id"), arcs)) == [(5, 5)]
+
+
 def test_pagerank_without_sinks_and_with_unknown_ends(spark, nodes):
     ring = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "src bigint, dst bigint")
     three = nodes.where("id < 4").select("id")
