@@ -234,7 +234,8 @@ def family_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.join(count, "root").select("node", "root", F.col("doc_id").alias("id"), "tk", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int").alias("block"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text"))
-    texts = texts.withColumn("id", F.coalesce("id", F.lit(-1))).join(dealt.withColumn("id", F.coalesce("id", F.lit(-1))), ["id", "tk"])
+    # Members grow with the corpus, so they are never broadcast, not even where they happen to be few.
+    texts = texts.withColumn("id", F.coalesce("id", F.lit(-1))).hint("merge").join(dealt.withColumn("id", F.coalesce("id", F.lit(-1))), ["id", "tk"])
     small_batches(docs.sparkSession)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
