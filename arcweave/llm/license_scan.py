@@ -1,11 +1,13 @@
-"""Licence scanning with a positional index of rare words.
+"""Licence scanning with a positional index of licence words weighed by IDF.
 
 The index holds the licence templates' words with their positions. Document
-frequencies of those words are counted over the whole corpus. For each file its
-licence words of the highest IDF are looked up; each occurrence and each posting
-give a relative position (file minus template), and postings that agree on it
-(within a slack for small edits) are intersected. A template is reported if what
-agrees holds enough of its IDF and its mandatory key phrase stands there too.
+frequencies of those words are counted over the whole corpus. Templates that a
+file's words can't give enough IDF are dropped; for the others every word is
+looked up, so that no licence of a file takes room from another. Each occurrence
+and each posting give a relative position (file minus template), and postings
+that agree on it (within a slack for small edits) are intersected. A template is
+reported if what agrees holds enough of its IDF and its mandatory key phrase
+stands there too.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("proprietary", "All rights reserved. Unauthorized copying of this file, via any medium is strictly prohibited", "all rights reserved"),
 ]
-#: Distinct licence words looked up a file, places that a posting may be off, share of a template's IDF that must agree.
-RAREST, SLACK, SHARE = 16, 3, 0.6
+#: Places that a posting may be off, share of a template's IDF that must agree.
+SLACK, SHARE = 3, 0.6
 
 _word = re.compile(ALNUM_WORD)
 
@@ -79,13 +81,12 @@ class Index:
         within = {t for t, mass in enumerate(self.mass) if self.sums[t].keys() & present and sum(self.sums[t][w] for w in self.sums[t].keys() & present) >= SHARE * mass}
         if not within:  # no template has enough of its IDF anywhere in the file
             return set(), 0.0
-        rare = frozenset(sorted(present, key=lambda w: (-self.idf[w], w))[:RAREST])
+        postings = {w: here for w in present if (here := [(t, p) for t, p in self.postings[w] if t in within])}
         at: dict[int, dict[int, set[str]]] = defaultdict(lambda: defaultdict(set))
         for k, w in enumerate(words):
-            if w in rare:
-                for t, p in self.postings[w]:
-                    if t in within:
-                        at[t][k - p].add(w)
+            if w in postings:
+                for t, p in postings[w]:
+                    at[t][k - p].add(w)
         labels, best = set(), 0.0
         for t, shifts in at.items():
             share = 0.0

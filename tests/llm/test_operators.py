@@ -303,6 +303,16 @@ def test_license_scan(spark, edges):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def test_licenses_of_one_file_share_no_budget(spark):
+    templates = license_scan.TEMPLATES
+    pairs = [(a, b) for i, a in enumerate(templates) for b in templates[:i]]
+    triples = [(templates[i], templates[i - 5], templates[i - 9]) for i in range(len(templates))]
+    texts = [f" {prose(k, 12)} ".join(x[1] for x in some) for k, some in enumerate(pairs + triples)]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan_licenses(documents(spark, texts + [prose(k, 50) for k in range(900, 960)])).collect()}
+    assert [(k, x[0]) for k, some in enumerate(pairs + triples) for x in some if x[0] not in got[k]] == []
+    assert all(got[k] == [""] for k in range(len(texts), len(got)))
+
+
 # decontamination
 
 
