@@ -7,9 +7,10 @@ of its characters, against a threshold calibrated on rule-decided URLs that the
 counts leave out.
 
 Counts cover all rule-decided URLs. A sequence is kept as a state of the models
-if it makes up at least one ``STATES``-th of the characters counted, so an order
-has ``STATES`` states at most however many URLs there are: the tables are safe
-to broadcast. Only DataFrame operations are used.
+if it was seen ``LEAST`` times, whatever the input's size, so the models grow
+with the input: their tables are stored and joined without hints. URLs are
+scored by their distinct sequences, each looked up once. Only DataFrame
+operations are used.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from arcweave.llm.common import lower_ascii, stored, table
 
 #: (verdict, host and path); a rule fits its host and all subdomains, if the path starts with the rule's. The longest that fits decides.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Longest context, states an order, weight of the shorter context, symbols assumed, first digits of the md5 of labelled URLs that calibrate, bins of a unit of score.
+#: Occurrences that make a state of the models, longest context, weight of the shorter context, symbols assumed, first digits of the md5 of labelled URLs that calibrate, bins of a unit of score. STATES is only the SQL's: its floor is above LEAST from 2 * STATES characters on.
+LEAST = 2
 ORDER, STATES, WEIGHT, ALPHABET, HELD_OUT, BINS = 4, 8192, 2.0, 256, "0123", 1000
 
 
@@ -54,32 +56,34 @@ def train(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     grams = sequences(labelled, "allow").select("allow", F.explode(F.array(*(F.col(f"g{k}") for k in range(order + 1)))).alias("g")).where("g IS NOT NULL")
     counts = grams.groupBy("g").agg(F.sum("allow").alias("a"), F.sum(1 - F.col("allow")).alias("b"))
     total = labelled.agg(F.sum(F.length("u") * F.col("allow")).alias("ta"), F.sum(F.length("u") * (1 - F.col("allow"))).alias("tb")).select(F.coalesce("ta", F.lit(0)).alias("ta"), F.coalesce("tb", F.lit(0)).alias("tb"))
-    least = F.greatest(F.lit(2), F.ceil((F.col("ta") + F.col("tb")) / STATES))
-    kept = stored(counts.crossJoin(F.broadcast(total)).where(F.col("a") + F.col("b") >= least), "url-states")  # total: one row
-    level = kept.where(F.length("g") == 1).select("g", *(((F.col(n) + WEIGHT / ALPHABET) / (F.col(f"t{n}") + WEIGHT)).alias(f"p{n}") for n in "ab"))
-    levels = [level]
+    kept = stored(counts.where(F.col("a") + F.col("b") >= LEAST), "url-states")
+    first = kept.where(F.length("g") == 1).crossJoin(F.broadcast(total))  # one row
+    level = stored(first.select("g", *(((F.col(n) + WEIGHT / ALPHABET) / (F.col(f"t{n}") + WEIGHT)).alias(f"p{n}") for n in "ab")), "url-level-0")
+    every = level
     for k in range(1, order + 1):
         context = kept.where(F.length("g") == k).select(F.col("g").alias("context"), F.col("a").alias("ca"), F.col("b").alias("cb"))
         shorter = level.select(F.col("g").alias("shorter"), F.col("pa").alias("qa"), F.col("pb").alias("qb"))
         own = kept.where(F.length("g") == k + 1).select("g", "a", "b", F.substring("g", 1, k).alias("context"), F.substring("g", 2, k).alias("shorter"))
-        own = own.join(F.broadcast(context), "context").join(F.broadcast(shorter), "shorter")  # STATES rows each at most
-        level = own.select("g", *(((F.col(n) + WEIGHT * F.col(f"q{n}")) / (F.col(f"c{n}") + WEIGHT)).alias(f"p{n}") for n in "ab"))
-        levels.append(level)
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
+        own = own.join(context, "context").join(shorter, "shorter")  # a row of either meets as many others as there are characters
+        level = stored(own.select("g", *(((F.col(n) + WEIGHT * F.col(f"q{n}")) / (F.col(f"c{n}") + WEIGHT)).alias(f"p{n}") for n in "ab")), f"url-level-{k}")
+        every = every.unionByName(level)
     return stored(every.select("g", (F.log("pa") - F.log("pb")).alias("llr")), "url-model")
 
 
 def scores(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """(u, score): mean log ratio over the characters of each distinct URL, each by its longest kept sequence. Copies don't change a mean, so nothing is dealt out by URL before its characters are summed up."""
-    rows = sequences(urls, "u")
-    found = F.lit(0.0)
+    """(u, score): mean log ratio over the characters of each distinct URL, each by its longest kept sequence.
+
+    Characters carry a number for their URL and what stands before them; their distinct sequences are looked up in the model, then joined back."""
+    numbered = stored(urls.select("u").distinct().withColumn("number", F.monotonically_increasing_id()), "url-numbers")
+    places = sequences(numbered, "number").select("number", F.coalesce(*(F.col(f"g{k}") for k in reversed(range(ORDER + 1)))).alias("g"))
+    found, ratio = places.select("g").distinct(), F.lit(0.0)
     for k in range(ORDER + 1):
         states = model.where(F.length("g") == k + 1).select(F.col("g").alias(f"g{k}"), F.col("llr").alias(f"r{k}"))
-        rows = rows.join(F.broadcast(states), f"g{k}", "left")  # STATES rows at most
-        found = F.coalesce(f"r{k}", found)
-    return rows.groupBy("u").agg(F.round(F.avg(found), 9).alias("score"))
+        ending = F.when(F.length("g") > k, F.expr(f"right(g, {k + 1})"))
+        found = found.withColumn(f"g{k}", ending).join(states, f"g{k}", "left")
+        ratio = F.coalesce(f"r{k}", ratio)
+    means = places.join(found.select("g", ratio.alias("ratio")), "g").groupBy("number").agg(F.round(F.avg("ratio"), 9).alias("score"))
+    return numbered.join(means, "number").select("u", "score")
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -112,9 +116,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataF
     held_out = F.substring(F.md5(F.col("u").cast("binary")), 1, 1).isin(*HELD_OUT)
     model = train(labelled.where(~held_out))
     checked = labelled.where(held_out).groupBy("u").agg(F.max("allow").alias("allow"))
-    threshold = calibrate(scores(checked, model).join(checked, "u"))
-    scored = scores(urls.where("decided IS NULL").select("u"), model)
-    joined = ruled.withColumn("u", u).join(scored, "u", "left")
+    scored = stored(scores(urls.where(F.col("decided").isNull() | held_out).select("u"), model), "url-scores")
+    threshold = calibrate(scored.join(checked, "u"))
+    joined = ruled.withColumn("u", u).join(scored, "u", "left").withColumn("score", F.when(F.col("decided").isNull(), F.col("score")))
     own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return joined.select(*(F.col(f"`{c}`") for c in kept), "host", "path", "rule", F.coalesce("decided", own).alias("verdict"), "score")
 

@@ -411,6 +411,16 @@ def test_url_scores_equal_brute_force(spark):
         assert rows[u].verdict == ("allow" if any(h in u for h in hosts["org"]) else "block")
 
 
+def test_url_states_grow_with_the_input(spark):
+    r = random.Random(6)
+    urls = ["http://" + "".join(r.choice("abcdefgh") for _ in range(60)) for _ in range(600)] + ["http://zq1xv"] * 2  # 40,226 characters
+    counts = Counter(u[i - k : i + 1] for u in urls for i in range(len(u)) for k in range(min(i, url_filter.ORDER) + 1))
+    model = url_filter.train(spark.createDataFrame([(u, k % 2) for k, u in enumerate(urls)], "u string, allow bigint"))
+    kept = {x.g for x in model.collect()}
+    assert {"zq1xv", "q1xv"} <= kept and kept == {g for g, n in counts.items() if n >= 2}
+    assert [x.score != 0 for x in url_filter.scores(spark.createDataFrame([("abc",), ("abc",), ("~~",)], "u string"), model).orderBy("u").collect()] == [True, False]
+
+
 # queries and pipeline
 
 DATA = "/root/testdata/sf0.001"
