@@ -2,7 +2,8 @@
 
 The graph: vertices are parts; an arc leads from each line item's part to that
 of the next line item of its order. The sparse graph keeps line items of at
-least 45 pieces, which leaves sinks, isolated vertices and many components.
+least 45 pieces, which leaves sinks, isolated vertices and many components; each
+query over it also runs over the whole graph, as ``NAME_whole``.
 """
 
 from __future__ import annotations
@@ -43,9 +44,11 @@ def sparse(spark: SparkSession, d: str) -> DataFrame:
     return arcs(spark, d, 45)
 
 
-def arc_lines(spark: SparkSession, d: str) -> DataFrame:
+Graph = Callable[[SparkSession, str], DataFrame]
+
+
+def arc_lines(a: DataFrame) -> DataFrame:
     """Arcs as text with all three separators, a trailing field and comment lines."""
-    a = sparse(spark, d)
     sep = F.when(F.col("src") % 3 == 0, "\t").when(F.col("src") % 3 == 1, " ").otherwise(",")
     return a.select(F.concat("src", sep, "dst", sep, F.lit("x")).alias("value")).union(a.select(F.concat(F.lit("% "), "src").alias("value")))
 
@@ -68,8 +71,8 @@ def tab_pages(s: SparkSession, d: str) -> DataFrame:
     return text.parse(node_lines(s, d, False), text.NODE_ID, text.TAB, None)
 
 
-def tab_links(s: SparkSession, d: str) -> DataFrame:
-    return text.parse(sparse(s, d).select(F.concat("src", F.lit("\t"), "dst").alias("value")), text.ARC, text.TAB, None)
+def tab_links(a: DataFrame) -> DataFrame:
+    return text.parse(a.select(F.concat("src", F.lit("\t"), "dst").alias("value")), text.ARC, text.TAB, None)
 
 
 def value_lines(s: SparkSession, d: str) -> DataFrame:
@@ -80,10 +83,6 @@ def part_values(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("value"))
 
 
-def numbered_incidence(side: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: lr.incidence(lr.numbered(sparse(s, d)), side)
-
-
 def hash_rows(s: SparkSession, d: str) -> DataFrame:
     return nodes(s, d).select("id", F.posexplode(fm.level_hashes(F.col("id"))).alias("level", "hash"))
 
@@ -98,15 +97,36 @@ def brand_estimates(s: SparkSession, d: str) -> DataFrame:
     return part.groupBy("p_brand").agg(fm.merge_agg("sketch").alias("sketch")).select("p_brand", fm.estimate(F.col("sketch")).alias("parts"))
 
 
+def queries_over(graph: Graph) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries that run over the sparse and over the whole graph."""
+    return {
+        "arc_reader": lambda s, d: text.parse(arc_lines(graph(s, d)), text.ARC),
+        "link_reader_tab": lambda s, d: tab_links(graph(s, d)),
+        "incidence_reader": lambda s, d: text.parse(graph(s, d).select(F.concat("src", F.lit(" "), "dst", F.lit(" 1.0")).alias("value")), text.INCIDENCE),
+        "csv_tab_convert": lambda s, d: text.convert_delimiter(graph(s, d).select(F.concat("src", F.lit("\t"), "dst").alias("value")), "\t", ","),
+        "sinks_anti_join": lambda s, d: pr.sinks(nodes(s, d).select("id"), graph(s, d)),
+        "sinks_cross_all": lambda s, d: pr.sink_link_counts(nodes(s, d).select("id"), graph(s, d)),
+        "pagerank_5": lambda s, d: rounded(pr.pagerank(nodes(s, d).select("id"), graph(s, d), max_iterations=STEPS, fixed=True)),
+        "topk_pagerank_5": lambda s, d: rounded(pr.top_k_pagerank(nodes(s, d).select("id"), graph(s, d), 10, STEPS, floor=0.0001, fixed=True)),
+        "pagerank_converged": lambda s, d: rounded(pr.pagerank(nodes(s, d).select("id"), graph(s, d))),
+        "wcc_labels": lambda s, d: wcc.labels(nodes(s, d).select("id"), graph(s, d)),
+        "wcc_count": lambda s, d: wcc.component_count(wcc.labels(nodes(s, d).select("id"), graph(s, d))),
+        "wcc_size_dist": lambda s, d: wcc.size_distribution(wcc.labels(nodes(s, d).select("id"), graph(s, d))),
+        "closeness_4": lambda s, d: rounded(cl.closeness(nodes(s, d), graph(s, d), CLOSENESS_STEPS)),
+        "topk_closeness_4": lambda s, d: rounded(cl.top_k_closeness(nodes(s, d), graph(s, d), 700, CLOSENESS_STEPS)),
+        "source_incidence": lambda s, d: lr.incidence(lr.numbered(graph(s, d)), "src"),
+        "target_incidence": lambda s, d: lr.incidence(lr.numbered(graph(s, d)), "dst"),
+        "linerank_norm": lambda s, d: rounded(lr.normalisation(lr.numbered(graph(s, d))), "d"),
+        "linerank_5": lambda s, d: rounded(lr.linerank(lr.numbered(graph(s, d)), STEPS, fixed=True)),
+        "linerank_uniform_5": lambda s, d: rounded(lr.linerank(lr.numbered(graph(s, d)), STEPS, init="uniform", fixed=True)),
+    }
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "arc_reader": lambda s, d: text.parse(arc_lines(s, d), text.ARC),
     "node_reader": lambda s, d: text.parse(node_lines(s, d), text.NODE),
     "node_id_reader": lambda s, d: text.parse(node_lines(s, d), text.NODE_ID),
     "page_reader_tab": tab_pages,
-    "link_reader_tab": tab_links,
     "value_reader": value_lines,
-    "incidence_reader": lambda s, d: text.parse(sparse(s, d).select(F.concat("src", F.lit(" "), "dst", F.lit(" 1.0")).alias("value")), text.INCIDENCE),
-    "csv_tab_convert": lambda s, d: text.convert_delimiter(sparse(s, d).select(F.concat("src", F.lit("\t"), "dst").alias("value")), "\t", ","),
     "vertices_distinct": lambda s, d: dg.vertices(arcs(s, d)),
     "undirect_edges": lambda s, d: dg.undirected(arcs(s, d)),
     "out_degree": lambda s, d: dg.degrees(arcs(s, d), "src"),
@@ -117,25 +137,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_out_degree_names": lambda s, d: dg.top_k_degree(arcs(s, d), nodes(s, d), "src", 10, 2),
     "topk_value_names": lambda s, d: dg.top_k_values(part_values(s, d), nodes(s, d), 20),
     "power_law_fit": lambda s, d: rounded(rounded(rounded(dg.power_law(dg.distribution(arcs(s, d), "dst")), "slope", 6), "intercept", 6), "r2", 6),
-    "sinks_anti_join": lambda s, d: pr.sinks(nodes(s, d).select("id"), sparse(s, d)),
-    "sinks_cross_all": lambda s, d: pr.sink_link_counts(nodes(s, d).select("id"), sparse(s, d)),
     "adjacency_list": lambda s, d: joined(dg.adjacency(arcs(s, d)), "targets"),
-    "pagerank_5": lambda s, d: rounded(pr.pagerank(nodes(s, d).select("id"), sparse(s, d), max_iterations=STEPS, fixed=True)),
-    "topk_pagerank_5": lambda s, d: rounded(pr.top_k_pagerank(nodes(s, d).select("id"), sparse(s, d), 10, STEPS, floor=0.0001, fixed=True)),
-    "pagerank_converged": lambda s, d: rounded(pr.pagerank(nodes(s, d).select("id"), sparse(s, d))),
-    "wcc_labels": lambda s, d: wcc.labels(nodes(s, d).select("id"), sparse(s, d)),
-    "wcc_count": lambda s, d: wcc.component_count(wcc.labels(nodes(s, d).select("id"), sparse(s, d))),
-    "wcc_size_dist": lambda s, d: wcc.size_distribution(wcc.labels(nodes(s, d).select("id"), sparse(s, d))),
     "fm_hash": hash_rows,
     "fm_sketch_init": sketch_rows,
     "fm_estimate": brand_estimates,
-    "closeness_4": lambda s, d: rounded(cl.closeness(nodes(s, d), sparse(s, d), CLOSENESS_STEPS)),
-    "topk_closeness_4": lambda s, d: rounded(cl.top_k_closeness(nodes(s, d), sparse(s, d), 700, CLOSENESS_STEPS)),
-    "source_incidence": numbered_incidence("src"),
-    "target_incidence": numbered_incidence("dst"),
-    "linerank_norm": lambda s, d: rounded(lr.normalisation(lr.numbered(sparse(s, d))), "d"),
-    "linerank_5": lambda s, d: rounded(lr.linerank(lr.numbered(sparse(s, d)), STEPS, fixed=True)),
-    "linerank_uniform_5": lambda s, d: rounded(lr.linerank(lr.numbered(sparse(s, d)), STEPS, init="uniform", fixed=True)),
+    **queries_over(sparse),
+    **{f"{name}_whole": query for name, query in queries_over(arcs).items()},
 }
 
 
@@ -266,3 +273,5 @@ ORACLE_SQL: dict[str, str] = {
     "linerank_5": _linerank_sql(STEPS, "0.0::DOUBLE"),
     "linerank_uniform_5": _linerank_sql(STEPS, "1.0::DOUBLE / m"),
 }
+#: The same SQL without the sparse graph's filter.
+ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(_arcs_sql("WHERE l_quantity >= 45"), _arcs_sql()) for name in queries_over(arcs)}
