@@ -4,8 +4,8 @@ A text's lower-cased UTF-8 bytes are cut into fixed-length windows that overlap
 by the widest filter, so every byte sequence a filter can see is seen. Filters
 of several widths slide over each window, their largest responses (max pooling)
 feed a softmax, and a text's prediction is the mean of its windows' outputs,
-weighted by their bytes. The network is trained in numpy on windows of a bounded
-sample of labelled rows.
+weighted by their bytes. The network is trained in numpy on all windows of a
+bounded sample of labelled rows, shared out evenly among the languages.
 """
 
 from __future__ import annotations
@@ -15,15 +15,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcweave.llm.common import doc_fold, small_batches, table
 
 #: Bytes of a window, filter widths, filters of each width, and the symbol that pads.
 WINDOW, WIDTHS, FILTERS, PAD = 256, (2, 3, 4, 5), 16, 256
-#: Labelled rows to train on at most, characters taken of each, passes, rows a step, step size.
-SAMPLE, SPAN, EPOCHS, STEP, RATE = 4_000, 300, 6, 64, 0.02
+#: Labelled rows to train on at most, passes, windows a step, step size.
+SAMPLE, EPOCHS, STEP, RATE = 4_000, 6, 64, 0.02
 HELD_OUT, UNKNOWN = 2, "und"
 #: The pipeline keeps a document if its language is known with at least this probability.
 KEEP_SCORE = 0.4
@@ -107,7 +107,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Network:
-    """A network from (text, language) rows. Each row also gives a short window, so that short texts are known too."""
+    """A network from all windows of (text, language) rows. Each row also gives a short window from some place, so that short texts are known too."""
     languages, random = sorted({y for _, y in rows}), np.random.default_rng(11)
     net = Network(
         languages,
@@ -118,14 +118,16 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Network:
     )
     data, labels = [], []
     for text, y in rows:
-        b = text.lower().encode("utf-8", "replace")[:WINDOW]
+        b = text.lower().encode("utf-8", "replace")
         short = int(random.integers(4, 64))
-        for x in (b, b[:short]):
+        at = int(random.integers(0, max(1, len(b) - short + 1)))
+        for x in (b, b[at : at + short]):
             data.append(x)
             labels.append(languages.index(y))
     if not data:
         return net
-    x_all, y_all = windows_of(data)[0], np.array(labels)
+    x_all, owner, _ = windows_of(data)
+    y_all = np.array(labels)[owner]
     state = [[np.zeros_like(a), np.zeros_like(a)] for a in (*net.filters, net.bias, net.out, net.out_bias)]
     t = 0
     for _ in range(epochs):
@@ -154,11 +156,31 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Network:
     return net
 
 
+def shares(counts: dict[str, int], most: int) -> dict[str, int]:
+    """Rows of each language: as even as their counts allow, ``most`` in all, but one each at least."""
+    out, left = {}, most
+    for k, (y, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[y] = min(n, max(1, left // (len(counts) - k)))
+        left -= out[y]
+    return out
+
+
+def sampled(labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """(h, doc_id, text, lang) of ``most`` distinct rows at most, whole texts, of each language those first by a hash of id and text.
+
+    A hash below a language's bound leaves about twice its rows, so that few are sorted and no language is sorted as a whole."""
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    bounds = [(y, n, min(1.0, (2 * n + 64) / counts[y])) for y, n in shares(counts, most).items()]
+    quota = labelled.sparkSession.createDataFrame(bounds, "lang string, most int, bound double")  # a row a language
+    rows = labelled.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text", "lang").join(F.broadcast(quota), "lang")
+    near = rows.where(F.pmod("h", F.lit(1 << 31)) < F.col("bound") * (1 << 31)).dropDuplicates(["h", "lang"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 31)), "h"))
+    return near.withColumn("nth", nth).where(F.col("nth") <= F.col("most")).select("h", "doc_id", "text", "lang")
+
+
 def fit(labelled: DataFrame, most: int = SAMPLE) -> Network:
-    """A network from (doc_id, text, lang) rows without nulls: ``most`` rows at most, picked by a hash of id and text, SPAN characters of each from a place that the hash picks."""
-    h = F.xxhash64("doc_id", "text")
-    at = F.pmod(F.shiftright(h, 20), F.greatest(F.length("text") - SPAN, F.lit(1))).cast("int") + 1
-    rows = labelled.select(h.alias("h"), "doc_id", F.substring("text", at, F.lit(SPAN)).alias("text"), "lang").orderBy("h", "doc_id", "lang").limit(most)
+    """A network from (doc_id, text, lang) rows without nulls: the whole texts of ``most`` rows at most."""
+    rows = sampled(labelled, most).orderBy("h", "lang").select("text", "lang")
     return train([(r["text"], r["lang"]) for r in rows.collect()])  # bounded by ``most``
 
 

@@ -178,6 +178,21 @@ def test_windows_cover_every_byte():
         assert bytes(seen) == d
 
 
+def test_training_covers_whole_texts_and_rare_languages(spark, monkeypatch):
+    texts = [("a" * 500 + "xyz" * 400, "aa")] * 2 + [(prose(k, 40), "bb") for k in range(300)] + [(f"ccc {k}", "cc") for k in range(3)]
+    docs = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(texts)], "doc_id bigint, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda rows: seen.extend(rows))
+    langid.fit(docs.union(docs.where("doc_id = 0")), 30)
+    assert Counter(y for _, y in seen) == {"aa": 2, "bb": 24, "cc": 3}  # the copy of a row takes its share too, but is learned once
+    assert all(r in texts for r in seen)
+    monkeypatch.undo()
+    shown = []
+    monkeypatch.setattr(langid, "windows_of", lambda data, f=langid.windows_of: shown.append(data) or f(data))
+    langid.train(texts[:1], epochs=1)
+    assert shown[0][0] == texts[0][0].encode()
+
+
 # toxicity
 
 
