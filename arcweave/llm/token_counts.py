@@ -1,9 +1,12 @@
-"""Token counts by overlap resynchronisation.
-
-A huge text is cut into overlapping chunks at arbitrary places, each chunk is
-encoded on its own with offsets, and neighbouring encodings are spliced at a
-boundary that both agree on and that is proven stable. If no such boundary lies
-in the overlap, the overlap is doubled until one does (or the text ends).
+"""Token counts by overlap resynchronisation of words.
+
+A text of more than CHUNK bytes is cut into overlapping chunks at arbitrary
+places, each chunk is split into words at ASCII white space, and neighbouring
+chunks are spliced at a word start that both see and that is proven stable. If
+there is none in the overlap, the overlap is doubled until there is one (or the
+text ends). Shorter texts are split into words as a whole. Chunks are not
+encoded themselves and no token offsets are asked for: tokens are the sum of a
+memo of encoded words, which is exact for the reason that follows.
 
 Stable boundary. The tokenizer replaces white space, lower-cases, composes (NFC)
 and then keeps only matches of a pattern none of whose alternatives crosses
