@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arcweave.functions.sketch import estimate, merge_agg, merged, singleton
 from arcweave.operators.degree import above, top_k, undirected, vertices
-from arcweave.plans.state import State, delete
+from arcweave.plans.state import Buckets, State
 
 FLOOR = 0.3
 
@@ -18,11 +18,12 @@ def closeness(nodes: DataFrame, arcs: DataFrame, max_iterations: int = 10) -> Da
     n counts the vertices at an arc. A vertex whose estimate doesn't change in a step keeps its old sketch. Stops early when no estimate changes: every later step would be the same."""
     spark = nodes.sparkSession
     n = vertices(arcs).count()
-    edges = State(spark, "closeness-edges").store(undirected(arcs))
+    # Bucketed by the end that is heard once: a step exchanges sketches, never edges.
+    edges = Buckets(undirected(arcs), "closeness-edges", "dst", "src")
     state = State(spark, "closeness-state")
     current = state.store(nodes.select("id").distinct().withColumn("sketch", singleton(F.col("id"))).select("id", "sketch", estimate(F.col("sketch")).alias("seen"), F.lit(0.0).alias("total"), F.lit(True).alias("changed")))
     for step in range(1, max_iterations + 1):
-        heard = edges.join(current.select(F.col("id").alias("dst"), "sketch"), "dst").groupBy(F.col("src").alias("id")).agg(merge_agg("sketch").alias("heard"))
+        heard = edges.joined(current.select(F.col("id").alias("dst"), "sketch")).groupBy(F.col("src").alias("id")).agg(merge_agg("sketch").alias("heard"))
         both = current.join(heard, "id", "left").withColumn("union", F.when(F.col("heard").isNull(), F.col("sketch")).otherwise(merged(F.col("sketch"), F.col("heard"))))
         both = both.withColumn("now", estimate(F.col("union")))
         grown = F.col("now") != F.col("seen")
@@ -37,8 +38,8 @@ def closeness(nodes: DataFrame, arcs: DataFrame, max_iterations: int = 10) -> Da
         )
         if current.where("changed").isEmpty():
             break
-    for path in state.paths[:-1]:
-        delete(spark, path)
+    state.keep_last()
+    edges.drop()
     return current.select("id", F.when(F.col("total") > 0, F.lit(float(n - 1)) / F.when(F.col("total") > 0, F.col("total"))).otherwise(0.0).alias("value"))
 
 

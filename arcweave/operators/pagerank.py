@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.operators.degree import above, degrees, top_k
-from arcweave.plans.state import State, delete
+from arcweave.plans.state import Buckets, State
 
 BETA, EPSILON = 0.85, 0.001
 
@@ -43,28 +43,25 @@ def pagerank(pages: DataFrame, links: DataFrame, beta: float = BETA, epsilon: fl
         known = pages.select("id")
         links = links.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
     out = degrees(links, "src").select(F.col("id").alias("src"), F.col("degree").alias("out"))
-    # Stored by source once: each step joins the ranks to it and sums by target.
-    edges, ranks = State(spark, "pagerank-links"), State(spark, "pagerank-ranks")
-    linked = edges.store(links.join(out, "src").select("src", "dst", "out"))
-    with_out = pages.join(out.select(F.col("src").alias("id"), "out"), "id", "left").select("id", F.col("out").isNull().alias("sink"))
-    old = ranks.store(with_out.select("id", "sink", F.lit(1.0 / n).alias("value")))
-    for step in range(max_iterations):
-        lost = old.where("sink").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("lost")).first()["lost"]
-        sent = linked.join(old.select(F.col("id").alias("src"), "value"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") / F.col("out")).alias("sent"))
-        base = with_out if keep_unlinked or lost > 0 else with_out.join(sent.select("id"), "id", "left_semi")
-        if strict:
-            base = base.join(sent.select("id"), "id", "full").select("id", F.coalesce("sink", F.lit(False)).alias("sink"))
-        value = F.lit(beta) * (F.coalesce("sent", F.lit(0.0)) + F.lit(lost / n)) + F.lit((1 - beta) / n)
-        new = ranks.store(base.join(sent, "id", "left").select("id", "sink", value.alias("value")))
-        if not fixed:
-            moved = new.join(old.select("id", F.col("value").alias("old")), "id").where(F.abs(F.col("value") - F.col("old")) > epsilon)
-            if moved.isEmpty():
-                old = new
-                break
-        old = new
-    for path in ranks.paths[:-1] + edges.paths:
-        delete(spark, path)
-    return old.select("id", "value")
+    # Bucketed by source once: a step exchanges ranks and sums, never links.
+    linked = Buckets(links.join(out, "src").select("src", "dst", "out"), "pagerank-links", "src", "dst")
+    ranks = State(spark, "pagerank-ranks")
+    first = pages.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("sink"), F.lit(1.0 / n).alias("value"), F.lit(True).alias("moved"))
+    current = ranks.store(first)
+    for _ in range(max_iterations):
+        lost = current.where("sink").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("lost"))  # one row
+        sent = linked.joined(current.select(F.col("id").alias("src"), "value")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") / F.col("out")).alias("sent"))
+        both = current.select("id", "sink", F.col("value").alias("old")).join(sent, "id", "full" if strict else "left").crossJoin(F.broadcast(lost))
+        if not keep_unlinked:
+            both = both.where("sent IS NOT NULL OR lost > 0")
+        value = F.lit(beta) * (F.coalesce("sent", F.lit(0.0)) + F.col("lost") / n) + F.lit((1 - beta) / n)
+        both = both.withColumn("value", value).withColumn("moved", F.coalesce(F.abs(F.col("value") - F.col("old")) > epsilon, F.lit(False)))
+        current = ranks.store(both.select("id", F.coalesce("sink", F.lit(False)).alias("sink"), "value", "moved"))
+        if not fixed and current.where("moved").isEmpty():
+            break
+    ranks.keep_last()
+    linked.drop()
+    return current.select("id", "value")
 
 
 def top_k_pagerank(pages: DataFrame, links: DataFrame, k: int, max_iterations: int = 10, beta: float = BETA, epsilon: float = EPSILON, floor: float = EPSILON, **options: bool) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 from arcweave.operators import closeness, components, degree, linerank, pagerank
 from arcweave.sources import text
@@ -41,9 +42,12 @@ def top_page_rank(spark: SparkSession, index: str, arcs: str, out: str, steps: s
 
 
 def wcc(spark: SparkSession, index: str, arcs: str, out: str, steps: str) -> None:
-    """``steps`` 0 runs until nothing changes."""
-    found = components.labels(text.read_node_ids(spark, index), text.read_arcs(spark, arcs), int(steps) or None)
-    text.write_rows(components.size_distribution(found), out, " ")
+    """``steps`` 0 runs until nothing changes; ``out`` - prints the sizes."""
+    found = components.size_distribution(components.labels(text.read_node_ids(spark, index), text.read_arcs(spark, arcs), int(steps) or None))
+    if out == "-":
+        text.show_rows(found)
+    else:
+        text.write_rows(found, out, " ")
 
 
 def top_closeness(spark: SparkSession, index: str, arcs: str, out: str, steps: str, k: str) -> None:
@@ -51,7 +55,10 @@ def top_closeness(spark: SparkSession, index: str, arcs: str, out: str, steps: s
 
 
 def _incidence(spark: SparkSession, arcs: str, out: str, side: str) -> None:
-    text.write_rows(linerank.incidence(linerank.numbered(text.read_arcs(spark, arcs)), side), out, "\t")
+    counted = Observation()
+    numbered = linerank.numbered(text.read_arcs(spark, arcs)).observe(counted, F.count("*").alias("lines"))
+    text.write_rows(linerank.incidence(numbered, side), out, "\t")
+    print(f"{counted.get['lines']} arcs")
 
 
 def source_incidence(spark: SparkSession, arcs: str, out: str) -> None:
@@ -75,7 +82,7 @@ def top_names(spark: SparkSession, index: str, values: str, out: str, k: str) ->
 def convert(spark: SparkSession, path: str, out: str, to: str) -> None:
     """``to`` is csv or tab; lines come out last first."""
     old, new = ("\t", ",") if to == "csv" else (",", "\t")
-    text.convert_file(spark, path, out, old, new)
+    print(f"{text.convert_file(spark, path, out, old, new)} lines")
 
 
 COMMANDS: dict[str, Callable[..., None]] = {f.__name__.replace("_", "-"): f for f in (in_degree, out_degree, top_in_degree, top_out_degree, page_rank, top_page_rank, wcc, top_closeness, source_incidence, target_incidence, line_rank, top_names, convert)}

@@ -1,9 +1,9 @@
 """Queries over the driver's tables, each with DuckDB SQL for the same rows.
 
 The graph: vertices are parts; an arc leads from each line item's part to that
-of the next line item of its order. The sparse graph keeps line items of at
-least 45 pieces, which leaves sinks, isolated vertices and many components; each
-query over it also runs over the whole graph, as ``NAME_whole``.
+of the next line item of its order. Queries run over the whole graph. Those whose
+result depends on its shape also run, as ``NAME_sparse``, over the graph of line
+items of at least 45 pieces, which has sinks, isolated vertices and many components.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from arcweave.operators import components as wcc
 from arcweave.operators import degree as dg
 from arcweave.operators import linerank as lr
 from arcweave.operators import pagerank as pr
+from arcweave.plans.state import shared_path
 from arcweave.sources import text
 
 STEPS, CLOSENESS_STEPS = 5, 4
@@ -97,9 +98,38 @@ def brand_estimates(s: SparkSession, d: str) -> DataFrame:
     return part.groupBy("p_brand").agg(fm.merge_agg("sketch").alias("sketch")).select("p_brand", fm.estimate(F.col("sketch")).alias("parts"))
 
 
+def read_back(s: SparkSession, df: DataFrame, sep: str) -> DataFrame:
+    """The lines of the text files that a delimited sink writes."""
+    path = shared_path(s, "sink")
+    text.write_rows(df, path, sep)
+    return text.read_lines(s, path)
+
+
+def scanned(s: SparkSession, lines: DataFrame) -> str:
+    """A folder of text files with these lines."""
+    path = shared_path(s, "lines")
+    lines.write.text(path)
+    return path
+
+
+def converted(s: SparkSession, a: DataFrame) -> DataFrame:
+    """Lines of the converter's one output file, and how many it says it wrote."""
+    out = shared_path(s, "converted")
+    n = text.convert_file(s, scanned(s, a.select(F.concat("src", F.lit("\t"), "dst").alias("value"))), out)
+    return text.read_lines(s, out).withColumn("lines", F.lit(n))
+
+
+def sink_sums(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """Sums over the links of every sink to every page."""
+    made = pr.sink_links(pages, links)
+    return made.groupBy("src").agg(F.count("*").alias("links"), F.sum("dst").alias("sum_dst"), F.min("dst").alias("min_dst"), F.max("dst").alias("max_dst"))
+
+
 def queries_over(graph: Graph) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The queries that run over the sparse and over the whole graph."""
+    """The queries that run over the whole and over the sparse graph."""
     return {
+        "sinks_cross_sums": lambda s, d: sink_sums(nodes(s, d).select("id"), graph(s, d)),
+        "linerank_converged": lambda s, d: rounded(lr.linerank(lr.numbered(graph(s, d)))),
         "arc_reader": lambda s, d: text.parse(arc_lines(graph(s, d)), text.ARC),
         "link_reader_tab": lambda s, d: tab_links(graph(s, d)),
         "incidence_reader": lambda s, d: text.parse(graph(s, d).select(F.concat("src", F.lit(" "), "dst", F.lit(" 1.0")).alias("value")), text.INCIDENCE),
@@ -141,8 +171,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fm_hash": hash_rows,
     "fm_sketch_init": sketch_rows,
     "fm_estimate": brand_estimates,
-    **queries_over(sparse),
-    **{f"{name}_whole": query for name, query in queries_over(arcs).items()},
+    "arc_scan": lambda s, d: text.read_arcs(s, scanned(s, arc_lines(arcs(s, d)))),
+    "node_scan": lambda s, d: text.read_nodes(s, scanned(s, node_lines(s, d))),
+    "sink_comma": lambda s, d: read_back(s, dg.degrees(arcs(s, d), "src"), ","),
+    "sink_blank": lambda s, d: read_back(s, wcc.size_distribution(wcc.labels(nodes(s, d).select("id"), arcs(s, d))), " "),
+    "sink_tab": lambda s, d: read_back(s, lr.incidence(lr.numbered(arcs(s, d)), "src"), "\t"),
+    "csv_file_convert": lambda s, d: converted(s, arcs(s, d)),
+    **queries_over(arcs),
+    **{f"{name}_sparse": query for name, query in queries_over(sparse).items()},
 }
 
 
@@ -227,6 +263,17 @@ def _numbered(extra: str = "") -> str:
 _NORM = ", deg AS (SELECT src AS dst, count(*) AS out FROM arcs GROUP BY src), d AS (SELECT arc_id, num.src, dst, 1.0::DOUBLE / out AS d FROM num JOIN deg USING (dst)), m AS (SELECT count(*) AS m FROM (SELECT DISTINCT src, dst FROM arcs))"
 
 
+def _linerank_converged_sql(most: int = 10) -> str:
+    """Unrolled steps; a step's move is what its arcs' scores changed by, in sum, and the first below 0.001 is the last."""
+    out = f"{_numbered(_NORM)}, v0 AS (SELECT arc_id, src, dst, d, 0.0::DOUBLE AS v FROM d, m)"
+    for k in range(1, most + 1):
+        out += f", x{k} AS (SELECT src AS dst, sum(d * v) AS x FROM v{k - 1} GROUP BY src), v{k} AS (SELECT arc_id, src, dst, d, 0.85 * x + 0.15 / m AS v, abs(0.85 * x + 0.15 / m - v) AS move FROM v{k - 1} JOIN x{k} USING (dst), m)"
+    moves = " UNION ALL ".join(f"SELECT {k} AS k, coalesce(sum(move), 0) AS move FROM v{k}" for k in range(1, most + 1))
+    steps = " UNION ALL ".join(f"SELECT {k} AS k, src, dst, v FROM v{k}" for k in range(1, most + 1))
+    out += f", stop AS (SELECT coalesce(min(k) FILTER (move < 0.001), {most}) AS k FROM ({moves})), f AS (SELECT src, dst, v FROM ({steps}) JOIN stop USING (k))"
+    return out + ", a AS (SELECT src AS id, sum(v) AS a FROM f GROUP BY src), b AS (SELECT dst AS id, sum(v) AS b FROM f GROUP BY dst) SELECT id, round(a + b, 9) AS value FROM a JOIN b USING (id)"
+
+
 def _linerank_sql(steps: int, first: str) -> str:
     out = f"{_numbered(_NORM)}, v0 AS (SELECT arc_id, src, dst, d, {first} AS v FROM d, m)"
     for k in range(1, steps + 1):
@@ -270,8 +317,20 @@ ORACLE_SQL: dict[str, str] = {
     "source_incidence": f"{_numbered()} SELECT arc_id, src AS node, 1.0::DOUBLE AS weight FROM num",
     "target_incidence": f"{_numbered()} SELECT arc_id, dst AS node, 1.0::DOUBLE AS weight FROM num",
     "linerank_norm": f"{_numbered(_NORM)} SELECT arc_id, round(d, 9) AS d FROM d",
+    "sinks_cross_sums": f"{SPARSE} SELECT a.id AS src, count(*) AS links, sum(b.id)::DECIMAL(38,0)::BIGINT AS sum_dst, min(b.id) AS min_dst, max(b.id) AS max_dst FROM nodes a, nodes b WHERE a.id NOT IN (SELECT src FROM arcs) GROUP BY a.id",
+    "linerank_converged": _linerank_converged_sql(),
     "linerank_5": _linerank_sql(STEPS, "0.0::DOUBLE"),
     "linerank_uniform_5": _linerank_sql(STEPS, "1.0::DOUBLE / m"),
 }
-#: The same SQL without the sparse graph's filter.
-ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(_arcs_sql("WHERE l_quantity >= 45"), _arcs_sql()) for name in queries_over(arcs)}
+#: The same SQL with and without the sparse graph's filter.
+for _name in queries_over(arcs):
+    ORACLE_SQL[f"{_name}_sparse"] = ORACLE_SQL[_name]
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace(_arcs_sql("WHERE l_quantity >= 45"), _arcs_sql())
+ORACLE_SQL |= {
+    "arc_scan": f"{ALL} SELECT src, dst FROM arcs",
+    "node_scan": ORACLE_SQL["node_reader"],
+    "sink_comma": f"{ALL} SELECT id || ',' || degree AS value FROM ({_degree_sql('src')})",
+    "sink_blank": f"{ORACLE_SQL['wcc_size_dist'].replace('SELECT component_size, count(*) AS num_components', "SELECT component_size || ' ' || count(*) AS value")}",
+    "sink_tab": f"{ALL} SELECT row_number() OVER (ORDER BY src, dst) || chr(9) || src || chr(9) || '1.0' AS value FROM arcs",
+    "csv_file_convert": f"{ALL} SELECT src || ',' || dst AS value, (SELECT count(*) FROM arcs) AS lines FROM arcs",
+}

@@ -7,9 +7,11 @@ A malformed line fails the job, unless ``on_error="drop"``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from arcweave.plans.state import delete, shared_path
+
 SEPARATORS, TAB, COMMENT = "[ \t,]", "\t", "%"
 Fields = list[tuple[str, int, str]]
 
@@ -84,8 +86,31 @@ def convert_delimiter(lines: DataFrame, old: str, new: str) -> DataFrame:
     return lines.select(F.translate("value", old, new).alias("value"))
 
 
-def convert_file(spark: SparkSession, path: str, out: str, old: str = "\t", new: str = ",", reverse: bool = True) -> None:
-    """Rewrite a text file with another delimiter, last line first by default. Order within a file only means something for one output file, so the lines are sorted by their place into one task."""
-    lines = convert_delimiter(read_lines(spark, path), old, new).withColumn("at", F.monotonically_increasing_id())
-    ordered = lines.coalesce(1).sortWithinPartitions(F.desc("at") if reverse else "at")
-    ordered.select("value").write.mode("overwrite").text(out)
+def show_rows(df: DataFrame) -> None:
+    """Print every row, a line each, without holding more than one partition."""
+    for row in df.toLocalIterator():
+        print("(" + ",".join(str(x) for x in row) + ")")
+
+
+def convert_file(spark: SparkSession, path: str, out: str, old: str = "\t", new: str = ",", reverse: bool = True) -> int:
+    """Rewrite text as one file with another delimiter, last line first by default and no line end after the last line; the number of lines.
+
+    Lines are sorted by their place in parallel into ordered parts, whose bytes are then appended to one another."""
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    lines = read_lines(spark, path).select(F.translate("value", old, new).alias("value"), *(c.alias(f"place{k}") for k, c in enumerate(place)))
+    order = [F.desc(f"place{k}") if reverse else F.asc(f"place{k}") for k in range(len(place))]
+    counted, parts = Observation(), shared_path(spark, "converted-parts")
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value")
+    ordered.observe(counted, F.count("*").alias("lines")).write.text(parts)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(out)
+    source, sink = folder.getFileSystem(conf), target.getFileSystem(conf)
+    found = sorted((f for f in source.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda f: f.getPath().getName())
+    stream = sink.create(target, True)
+    for k, f in enumerate(found):
+        opened = source.open(f.getPath())
+        jvm.org.apache.commons.io.IOUtils.copyLarge(opened, stream, 0, f.getLen() - (k == len(found) - 1))
+        opened.close()
+    stream.close()
+    delete(spark, parts)
+    return counted.get["lines"]

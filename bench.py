@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-HEADLINE = ["in_degree_dist", "out_degree_dist", "topk_in_degree_names", "topk_out_degree_names", "topk_value_names", "undirect_edges", "pagerank_5", "wcc_size_dist", "closeness_4", "linerank_5"]
+HEADLINE = ["in_degree_dist", "out_degree_dist", "topk_in_degree_names", "topk_out_degree_names", "topk_value_names", "undirect_edges", "pagerank_5", "wcc_size_dist", "closeness_4", "linerank_5", "pagerank_5_sparse", "wcc_size_dist_sparse", "closeness_4_sparse", "linerank_5_sparse"]
 
 
 def main() -> None:
@@ -24,6 +25,7 @@ def main() -> None:
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.warehouse.dir", f"{tempfile.gettempdir()}/arcweave-warehouse")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -1,10 +1,13 @@
 """Operators on the small hermetic graph, its edge cases, and the files."""
 
+import random
+
 import pytest
 
 from arcweave.functions import sketch
 from arcweave.operators import closeness, components, degree, linerank, pagerank
-from arcweave.plans import cli
+from arcweave.plans import cli, state
+from arcweave.plans.state import Buckets, State
 from arcweave.sources import text
 
 ARCS = [(1, 2), (2, 3), (2, 4), (3, 4), (4, 1)]
@@ -99,6 +102,59 @@ def test_components(spark, arcs, nodes):
     assert dict(rows(components.labels(ids, path, max_iterations=3)))[40] == 37
 
 
+def test_components_take_few_steps(spark, monkeypatch):
+    order = list(range(1000))
+    random.Random(5).shuffle(order)
+    taken = []
+    monkeypatch.setattr(State, "store", lambda self, df, f=State.store: taken.append(self.what) or f(self, df))
+    path = spark.createDataFrame(list(zip(order, order[1:])), "src bigint, dst bigint")
+    assert {c for _, c in rows(components.labels(spark.range(1000), path))} == {0}
+    assert taken.count("wcc-stars") <= 16
+    hub = spark.range(1, 500).selectExpr("id AS src", "0 AS dst")
+    assert rows(components.labels(spark.range(500), hub)) == [(k, 0) for k in range(500)]
+
+
+@pytest.mark.parametrize("hub", [1000, 2])
+def test_buckets_join_without_moving_arcs(spark, hub):
+    arcs = [(k % 3, k) for k in range(40)] + [(7, 1), (7, 1), (8, 2)]
+    stored_arcs = Buckets(spark.createDataFrame(arcs, "src bigint, dst bigint"), "test-arcs", "src", "dst", hub)
+    values = spark.createDataFrame([(k, k * 10) for k in (0, 1, 2, 7, 9)], "src bigint, v bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = stored_arcs.joined(values)
+        assert sorted(tuple(r) for r in found.select("src", "dst", "v").collect()) == sorted((a, b, a * 10) for a, b in arcs if a != 8)
+        plan = stored_arcs.joined(values)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    arcs_side = plan[: plan.index("Bucketed: true")].rsplit("SortMergeJoin", 1)[1]
+    assert "Exchange" not in arcs_side
+    stored_arcs.drop()
+
+
+def test_iterations_leave_no_tables(spark, arcs, nodes):
+    pagerank.pagerank(nodes.select("id"), arcs).count()
+    closeness.closeness(nodes, arcs).count()
+    linerank.linerank(linerank.numbered(arcs)).count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("pagerank", "closeness", "linerank"))]
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://elsewhere:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        state.shared_path(Session, "x")
+    Context.master = "local[4]"
+    assert state.shared_path(Session, "x").startswith("file:///")
+
+
 def test_sketch_hashes(spark):
     df = spark.createDataFrame([(0,), (1,), (102,), (1 << 32,)], "id bigint")
     found = {r["id"]: r["h"] for r in df.select("id", sketch.level_hashes(df["id"]).alias("h")).collect()}
@@ -145,8 +201,26 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["top-names", at("index"), at("lr"), at("top"), "1"], spark)
     assert read("top")[0].startswith("n2,0.3779444")
     cli.main(["convert", at("arcs"), at("csv"), "csv"], spark)
-    out = [r["value"] for r in spark.read.text(at("csv")).collect()]
-    assert out == [f"{a},{b}" for a, b in reversed(ARCS)] + ["% toy"]
+    assert (tmp_path / "csv").read_text() == "\n".join([f"{a},{b}" for a, b in reversed(ARCS)] + ["% toy"])
+    capsys.readouterr()
+    cli.main(["wcc", at("index"), at("arcs"), "-", "0"], spark)
+    assert sorted(capsys.readouterr().out.split()) == ["(1,1)", "(4,1)"]
+    cli.main(["source-incidence", at("arcs"), at("s2")], spark)
+    assert capsys.readouterr().out == "5 arcs\n"
+
+
+def test_convert_file_keeps_the_order_of_many_parts(spark, tmp_path):
+    rows_of = [f"{k}\tx" for k in range(20_000)]
+    (tmp_path / "in").write_text("\n".join(rows_of) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert text.convert_file(spark, str(tmp_path / "in"), str(tmp_path / "out"), reverse=False) == len(rows_of)
+        assert text.convert_file(spark, str(tmp_path / "in"), str(tmp_path / "back")) == len(rows_of)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert (tmp_path / "out").read_text() == "\n".join(x.replace("\t", ",") for x in rows_of)
+    assert (tmp_path / "back").read_text() == "\n".join(x.replace("\t", ",") for x in reversed(rows_of))
 
 
 def test_degree_stream(spark, tmp_path):

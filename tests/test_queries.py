@@ -43,12 +43,11 @@ def test_whole_graph_reaches_every_line_item(spark, duck):
     items = duck.sql("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY ALL").fetchall()
     arcs = sorted((a[2], b[2]) for a, b in zip(items, items[1:]) if a[0] == b[0])
     read = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, DATA).collect())
-    assert read("arc_reader_whole") == read("link_reader_tab_whole") == read("incidence_reader_whole") == arcs
-    assert [r.value for r in QUERIES["csv_tab_convert_whole"](spark, DATA).orderBy("value").collect()] == sorted(f"{a},{b}" for a, b in arcs)
+    assert read("arc_reader") == read("link_reader_tab") == read("incidence_reader") == read("arc_scan") == arcs
+    assert [r.value for r in QUERIES["csv_tab_convert"](spark, DATA).orderBy("value").collect()] == sorted(f"{a},{b}" for a, b in arcs)
     component = {r[0]: r[0] for r in duck.sql("SELECT p_partkey FROM part").fetchall()}
     while moved := [(c, component[b]) for a, b in [*arcs, *((b, a) for a, b in arcs)] if (c := component[a]) > component[b]]:
         lower = dict(sorted(moved, reverse=True))
         component = {k: lower.get(c, c) for k, c in component.items()}
-    assert read("wcc_labels_whole") == sorted(component.items())
-    assert {f"{name}_whole" for name, sql in ORACLE_SQL.items() if "l_quantity >= 45" in sql} <= set(QUERIES)
-    assert not any("l_quantity" in sql for name, sql in ORACLE_SQL.items() if name.endswith("_whole"))
+    assert read("wcc_labels") == sorted(component.items())
+    assert all(name.endswith("_sparse") == ("l_quantity" in sql) for name, sql in ORACLE_SQL.items())
