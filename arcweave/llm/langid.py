@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import doc_fold, small_batches, table
+from arcweave.llm.common import columns_without, doc_fold, small_batches, table, whole_rows
 
 #: Bytes of a window, filter widths, filters of each width, and the symbol that pads.
 WINDOW, WIDTHS, FILTERS, PAD = 256, (2, 3, 4, 5), 16, 256
@@ -49,6 +49,29 @@ def windows_of(data: list[bytes], length: int = WINDOW) -> tuple[np.ndarray, np.
     return flat[starts[:, None] + np.arange(length)], owner, np.minimum(length, sizes[owner] - nth * step).clip(0)
 
 
+def window_blocks(data: list[bytes], most: int = 128, length: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The windows of all texts as ``windows_of`` gives them, ``most`` at a time: a very long text is cut at the starts of windows, short ones share a block."""
+    step, group, first, held = length - max(WIDTHS) + 1, [], 0, 0
+    for k, x in enumerate(data):
+        pieces = max(1, -(-(len(x) - (length - step)) // step))
+        if group and held + pieces > most:
+            w, owner, size = windows_of(group, length)
+            yield w, owner + first, size
+            group, held = [], 0
+        if pieces > most:
+            for i in range(0, pieces, most):
+                w, owner, size = windows_of([x[i * step : (i + most - 1) * step + length]], length)
+                yield w, owner + k, size
+            continue
+        if not group:
+            first = k
+        group.append(x)
+        held += pieces
+    if group:
+        w, owner, size = windows_of(group, length)
+        yield w, owner + first, size
+
+
 @dataclass
 class Network:
     languages: list[str]
@@ -70,19 +93,16 @@ class Network:
             pooled.append(np.take_along_axis(total, where[:, None], axis=1)[:, 0])
         return np.concatenate(pooled, axis=1), places
 
-    def probabilities(self, x: np.ndarray, block: int = 128) -> np.ndarray:
-        out = np.zeros((len(x), len(self.languages)), dtype=np.float32)
-        for k in range(0, len(x), block):  # bounds memory whatever a text's length
-            pooled = []
-            for f in self.filters:
-                b = x[k : k + block]
-                n = b.shape[1] - len(f) + 1
-                total = f[0][b[:, :n]]
-                for j in range(1, len(f)):
-                    total += f[j][b[:, j : j + n]]
-                pooled.append(total.max(axis=1))
-            out[k : k + block] = softmax(np.maximum(np.concatenate(pooled, axis=1) + self.bias, 0) @ self.out + self.out_bias)
-        return out
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Softmax outputs of each window of a block."""
+        pooled = []
+        for f in self.filters:
+            n = x.shape[1] - len(f) + 1
+            total = f[0][x[:, :n]]
+            for j in range(1, len(f)):
+                total += f[j][x[:, j : j + n]]
+            pooled.append(total.max(axis=1))
+        return softmax(np.maximum(np.concatenate(pooled, axis=1) + self.bias, 0) @ self.out + self.out_bias)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, probability) of each text; UNKNOWN and 0 for null and for texts without a letter."""
@@ -91,13 +111,12 @@ class Network:
         part = 64
         for b in range(0, len(known), part):
             ks = known[b : b + part]
-            x, owner, size = windows_of([texts[k].lower().encode("utf-8", "replace") for k in ks])
-            p = self.probabilities(x) * np.maximum(size, 1)[:, None]
             total = np.zeros((len(ks), len(self.languages)))
-            np.add.at(total, owner, p)
+            for x, owner, size in window_blocks([texts[k].lower().encode("utf-8", "replace") for k in ks]):
+                np.add.at(total, owner, self.probabilities(x) * np.maximum(size, 1)[:, None])
             total /= total.sum(axis=1, keepdims=True)
             for k, row in zip(ks, total, strict=True):
-                found[k] = (self.languages[int(row.argmax())], float(row.max()))
+                found[k] = (self.languages[int(row.argmax())], min(1.0, float(row.max())))
         return found
 
 
@@ -185,16 +204,17 @@ def fit(labelled: DataFrame, most: int = SAMPLE) -> Network:
 
 
 def predict(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred (string) and score (double, 0 to 1) appended. Every row stays; UNKNOWN and 0 for null texts, texts without a letter, and without any training row. Columns that are named like the new ones are replaced."""
+    """``docs`` with lang_pred (string) and score (double, 0 to 1) appended. Every row stays, repeated ones with equal results; UNKNOWN and 0 for null texts, texts without a letter, and without any training row; of equally likely languages the first by name. Very long texts pass a block of windows at a time. Columns that are named like the new ones, in any case, are replaced."""
     import pyarrow as pa
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = columns_without(docs, "lang_pred", "score")
+    at = kept.index(text)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = net.predict(b.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=[*kept, "lang_pred", "score"])
+            found = net.predict(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=[*kept, "lang_pred", "score"])
 
     left = docs.select(*(F.col(f"`{c}`") for c in kept))
     return left.mapInArrow(run, left.withColumn("lang_pred", F.lit(None).cast("string")).withColumn("score", F.lit(0.0)).schema)
@@ -205,9 +225,9 @@ def labelled_rows(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without a letter or with no language of at least KEEP_SCORE go."""
-    known = predict(docs, fit(labelled_rows(docs))).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= KEEP_SCORE))
-    return known.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Documents whose language is known, with their own columns; those without a letter (null and empty texts too) or with no language of at least KEEP_SCORE go. Repeated rows share their fate. Without any labelled row no language is known, so all go."""
+    known = predict(whole_rows(docs), fit(labelled_rows(docs))).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= KEEP_SCORE))
+    return known.select("row.*")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import ALNUM_WORD, ascii_lower, small_batches, table
+from arcweave.llm.common import ALNUM_WORD, ascii_lower, columns_without, small_batches, table
 
 #: Phrases whose every place is counted, with their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -138,13 +138,13 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[str], text: str
         counts: dict[str, int] = defaultdict(int)
         n = 0
         for batch in batches:
-            for t in batch.column("__text").to_pylist():
+            for t in batch.column(0).to_pylist():
                 n += 1
                 for w in vocabulary.intersection(pattern.findall(ascii_lower(t))):
                     counts[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.string()), pa.array([n, *counts.values()], pa.int64())], names=["word", "n"])
 
-    counted = docs.select(F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     rows = {r["word"]: r["n"] for r in counted.collect()}  # at most a row a word of the templates
     return rows, rows.pop(None, 0)
 
@@ -152,13 +152,13 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[str], text: str
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, text: str = "text") -> DataFrame:
     """``docs`` without the text, plus n_words, n_base, first_word, last_word (long), base_labels, labels (string), score (double).
 
-    Every row stays; null and empty texts have no words, no labels ('') and score 0. A base phrase gives score 1. Columns that are named like the new ones are replaced."""
+    Every row stays, repeated ones with equal results; null and empty texts have no words, no labels ('') and score 0. A base phrase gives score 1. Of places of equal share any does, as only the share counts. A very long text is held as its list of words, one text at a time. Columns that are named like the new ones, in any case, are replaced."""
     import pyarrow as pa
 
     index = Index(templates or TEMPLATES)
     index.weigh(*document_frequencies(docs, index.vocabulary, text))
     new = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double"}
-    kept = [c for c in docs.columns if c != text and c not in new]
+    kept = columns_without(docs, text, *new)
 
     def row(index: Index, words: list[str]) -> tuple:
         places = base_places(words)
@@ -170,12 +170,12 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
         for batch in batches:
-            columns = list(zip(*(row(index, words_of(t)) for t in batch.column("__text").to_pylist()), strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*kept, *new])
+            columns = list(zip(*(row(index, words_of(t)) for t in batch.column(batch.num_columns - 1).to_pylist()), strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*kept, *new])
 
     left = docs.select(*(F.col(f"`{c}`") for c in kept))
     schema = left.withColumns({c: F.lit(None).cast(t) for c, t in new.items()}).schema
-    return docs.select(*left.columns, F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

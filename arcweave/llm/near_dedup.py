@@ -5,18 +5,22 @@
 2. Each node has a MinHash signature. Every tree of the forest is one sorted
    order of the nodes, by its own run of the signature's values: the orders are
    range-partitioned as one table, so a prefix that very many texts share is
-   spread over tasks instead of filling one.
-3. In such an order a node's neighbours are those with the longest common
-   prefix. Each node looks at the next NEIGHBOURS ones that share DEPTH values
-   or more: in sparse regions that is everything at the smallest depth, in dense
-   ones the depth rises by itself until so many fit. A neighbour counts if the
-   sketches agree well enough for the similarity to be in reach.
-4. Candidate links make families (connected components). A chain of candidates
+   spread over tasks instead of filling one. Rows at a partition's ends also meet
+   those of the next partition.
+3. In such an order the longest common prefix with a row falls with the distance
+   from it. Each node looks at the next NEIGHBOURS ones, as long as DEPTH values
+   are shared: in sparse regions that is everything at the smallest depth, in dense
+   ones the depth rises with the region until so many fit. A neighbour counts if
+   the sketches agree well enough for the similarity to be in reach.
+4. Nodes of regions that are denser at DEPTH than NEIGHBOURS are sorted again, by
+   CROWDED further orders made of other values of their signatures.
+5. Candidate links make families (connected components). A chain of candidates
    is enough to bring two texts into one family, so no list of partners is cut.
-5. Inside each family every two sets are compared in full, in blocks: families
-   above BLOCK members are dealt into blocks and each pair of blocks is a group
-   of its own. A group returns a spanning forest of its links, never all pairs.
-6. Connected components of the confirmed links are the result.
+6. Families of one block are compared in full. In larger ones the candidate links
+   are confirmed first; then each node outside the largest confirmed part is
+   compared with all others, in blocks, each pair of blocks a group of its own.
+   A group returns a spanning forest of its links, never all pairs.
+7. Connected components of the confirmed links are the result.
 """
 
 from __future__ import annotations
@@ -31,16 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import SPACED_WORD, ascii_lower, dropped, small_batches, stored, table
+from arcweave.llm.common import SPACED_WORD, ascii_lower, broadcast_if_small, joined_by_key, small_batches, stored, table, whole_rows
+from arcweave.operators.components import stars
 
 SHINGLE, PERCENT = 5, 75
 #: Trees, signature values of each, and values that neighbours must share at least. At similarity s and depth 2 a pair shares no tree with probability (1 - s*s)**TREES: 5e-5 at 0.75.
 TREES, VALUES, DEPTH = 12, 8, 2
 NEIGHBOURS = 24
+#: Further orders for nodes of crowded regions.
+CROWDED = 24
 #: Bytes of a sketch, and how many must agree: 0.75 agree on the mean, with a standard deviation of 0.054.
 SKETCH, AGREE = 64, 35
-#: Sets compared at once.
-BLOCK = 256
+#: Sets compared at once, and their shingles (8 bytes each) on the mean.
+BLOCK, BLOCK_SHINGLES = 256, 4_000_000
 #: Words that a worker remembers.
 MEMO = 400_000
 
@@ -112,16 +119,6 @@ def signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, tk long, n_shingles long, node long, sig binary")
 
 
-def roots(n: int, pairs: Iterator[tuple[int, int]]) -> list[int]:
-    """Union-find over 0..n-1: the smallest member of each one's set."""
-    parent = list(range(n))
-    for a, b in pairs:
-        a, b = find(parent, a), find(parent, b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [find(parent, k) for k in range(n)]
-
-
 def find(parent: list[int], k: int) -> int:
     while parent[k] != k:
         parent[k] = parent[parent[k]]
@@ -129,75 +126,127 @@ def find(parent: list[int], k: int) -> int:
     return k
 
 
-def neighbour_links(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between sorted rows: each with one of the next NEIGHBOURS that shares DEPTH values (tree number included in the key) and AGREE sketch bytes. Of each set of linked rows only a spanning forest is returned."""
-    found_a, found_b = [], []
+def shared_values(keys: np.ndarray) -> np.ndarray:
+    """Of each row and the next one: how many of the tree's leading values are equal (-1: another tree). A key is the tree's number and VALUES values of 4 bytes."""
+    same = keys[1:] == keys[:-1]
+    values = same[:, 1:].reshape(len(same), -1, 4).all(axis=2)
+    return np.where(same[:, 0], np.logical_and.accumulate(values, axis=1).sum(axis=1), -1)
+
+
+def neighbour_links(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b) between sorted rows and the crowded rows' nodes. A row is linked with the next NEIGHBOURS that share DEPTH values and AGREE sketch bytes; of each set of linked rows only a spanning forest of the best agreeing pairs is returned. A row is crowded if it is in a region of DEPTH that reaches beyond NEIGHBOURS rows."""
+    edges, crowded = [], np.zeros(len(nodes), dtype=bool)
+    shared = shared_values(keys)  # of rows i and i + step once step is reached: the least on the way
     for step in range(1, min(NEIGHBOURS, len(nodes) - 1) + 1):
-        near = np.flatnonzero((keys[step:] == keys[:-step]).all(axis=1))
+        if step > 1:
+            shared = np.minimum(shared[:-1], first[step - 1 :])
+        else:
+            first = shared
+        near = np.flatnonzero(shared >= DEPTH)
         if not len(near):
             break
         for k in range(0, len(near), 8192):
             part = near[k : k + 8192]
-            part = part[(sketches[part] == sketches[part + step]).sum(axis=1) >= AGREE]
-            found_a.append(part)
-            found_b.append(part + step)
-    if not found_a:
-        return nodes[:0], nodes[:0]
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root = np.array(roots(len(used), zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True)), dtype=np.int64)
-    differs = root != np.arange(len(used))
-    return nodes[used[differs]], nodes[used[root[differs]]]
+            agree = (sketches[part] == sketches[part + step]).sum(axis=1)
+            good = agree >= AGREE
+            edges.append(np.stack([part[good], part[good] + step, agree[good]]))
+        if step == NEIGHBOURS:
+            crowded[near] = True
+            for k in range(1, NEIGHBOURS + 1):
+                crowded[near + k] = True
+    if not edges:
+        return nodes[:0], nodes[:0], nodes[:0]
+    a, b, agree = np.concatenate(edges, axis=1)
+    best = np.argsort(-agree, kind="stable")
+    parent, keep = list(range(len(nodes))), []
+    for e, x, y in zip(best.tolist(), a[best].tolist(), b[best].tolist(), strict=True):
+        x, y = find(parent, x), find(parent, y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep.append(e)
+    return nodes[a[keep]], nodes[b[keep]], nodes[crowded]
+
+
+def tree_values(trees: int, offset: int) -> list[list[int]]:
+    """Which values of the signature each tree sorts by: runs of them, then (offset > 0) others picked by steps, so that no two trees begin alike."""
+    total = TREES * VALUES
+    if not offset:
+        return [list(range(t * VALUES, (t + 1) * VALUES)) for t in range(trees)]
+    return [[(t * 5 + k * (7 + 2 * (t % 9)) + offset) % total for k in range(VALUES)] for t in range(trees)]
+
+
+LINK, NODE, BORDER = 0, 1, 2
+
+
+def sorted_links(nodes: DataFrame, values: list[list[int]], what: str) -> DataFrame:
+    """Stored (kind, a, b) from nodes (node, sig): candidate links, and crowded nodes (a), over one sorted order a tree."""
+    pick = lambda t: F.concat(F.lit(bytes([t])), *(F.substring("sig", 4 * k + 1, 4) for k in values[t]))
+    if values == tree_values(len(values), 0):
+        pick = lambda t: F.concat(F.lit(bytes([t])), F.substring("sig", t * 4 * VALUES + 1, 4 * VALUES))
+    keys = F.when(F.col("tree") == 0, pick(0))
+    for t in range(1, len(values)):
+        keys = keys.when(F.col("tree") == t, pick(t))
+    small = F.concat(*(F.substring("sig", 4 * k + 1, 1) for k in range(SKETCH)))
+    orders = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(len(values) - 1))).alias("tree"))
+    ordered = orders.select(keys.alias("key"), "node", small.alias("sketch")).repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())])
 
+    def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none], schema=schema)
 
-def forest_links(nodes: DataFrame) -> DataFrame:
-    """Candidate links (a, b) between nodes (node, sig): neighbours in each tree's order."""
-    width = 4 * VALUES
-    trees = [F.concat(F.lit(bytes([t])), F.substring("sig", t * width + 1, width)) for t in range(TREES)]
-    orders = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    pick = trees[0]
-    for t in range(1, TREES):
-        pick = F.when(F.col("tree") == t, trees[t]).otherwise(pick)
-    small = F.concat(*(F.substring("sig", 4 * k + 1, 1) for k in range(SKETCH)))
-    rows = orders.select(pick.alias("key"), "node", small.alias("sketch"))
-    ordered = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    def ends(part: int, held: tuple) -> pa.RecordBatch:
+        """Rows that also meet the neighbouring partition's: ``b`` is the border's number."""
+        keys, ids, sketches = held
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), BORDER, np.int32)), pa.array(ids, pa.int64()), pa.array(np.full(len(ids), part, np.int64)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([x.tobytes() for x in sketches], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix, keep = 1 + 4 * DEPTH, NEIGHBOURS
-        held = None
+        from pyspark import TaskContext
+
+        part, held, head = TaskContext.get().partitionId(), None, 0
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            keys = np.frombuffer(b"".join(batch.column("key").to_pylist()), dtype=np.uint8).reshape(n, -1)[:, :prefix]
-            ids = batch.column("node").to_numpy(zero_copy_only=False)
-            sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, SKETCH)
+            now = (
+                np.frombuffer(b"".join(batch.column("key").to_pylist()), dtype=np.uint8).reshape(n, -1),
+                batch.column("node").to_numpy(zero_copy_only=False),
+                np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, SKETCH),
+            )
+            if head < NEIGHBOURS and part:  # the first rows of a partition stand at the border before it
+                yield ends(part - 1, tuple(x[: NEIGHBOURS - head] for x in now))
+                head += min(n, NEIGHBOURS - head)
             if held is not None:  # the last rows of the batch before meet the first of this one
-                keys, ids, sketches = (np.concatenate(x) for x in zip(held, (keys, ids, sketches), strict=True))
-            a, b = neighbour_links(keys, ids, sketches)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            held = (keys[-keep:], ids[-keep:], sketches[-keep:])
-
-    return ordered.mapInArrow(run, "a long, b long")
-
-
-def components(links: DataFrame, what: str) -> DataFrame:
-    """(node, root): the smallest node that each linked node (a, b) can reach, by alternating large-star and small-star steps; each step is stored, so nothing is recomputed when an executor is lost."""
-    spark = links.sparkSession
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), what)
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(after, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(after.select("u", F.col("m").alias("v"))).distinct()
-        changed_from = edges
-        edges = stored(small, what)
-        same = edges.join(changed_from, ["u", "v"], "left_anti").isEmpty() and changed_from.join(edges, ["u", "v"], "left_anti").isEmpty()
-        dropped(spark, changed_from)
-        if same:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+                now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            a, b, crowded = neighbour_links(*now)
+            yield rows(LINK, a, b)
+            yield rows(NODE, crowded, crowded)
+            held = tuple(x[-NEIGHBOURS:] for x in now)
+        if held is not None:
+            yield ends(part, held)
+
+    found = stored(ordered.mapInArrow(run, "kind int, a long, b long, key binary, sketch binary"), what)
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["key", "a"])
+        keys, sketches = (np.frombuffer(b"".join(frame[c]), dtype=np.uint8).reshape(len(frame), -1) for c in ("key", "sketch"))
+        a, b, _ = neighbour_links(keys, frame["a"].to_numpy(), sketches)
+        return pd.DataFrame({"kind": np.zeros(len(a), np.int32), "a": a, "b": b})
+
+    # A border has 2 * NEIGHBOURS rows at most.
+    borders = found.where(F.col("kind") == BORDER).groupBy("b").applyInPandas(meet, "kind int, a long, b long")
+    return found.where(F.col("kind") != BORDER).select("kind", "a", "b").unionByName(borders)
+
+
+def forest_links(nodes: DataFrame) -> DataFrame:
+    """Stored candidate links (a, b) between nodes (node, sig): neighbours in each tree's order, and in further orders those of crowded regions."""
+    found = sorted_links(nodes, tree_values(TREES, 0), "forest")
+    links = found.where(F.col("kind") == LINK).select("a", "b")
+    crowded = stored(found.where(F.col("kind") == NODE).select(F.col("a").alias("node")).distinct(), "crowded")
+    if not crowded.isEmpty():
+        again = sorted_links(nodes.join(crowded, "node"), tree_values(CROWDED, 1), "crowded-forest")
+        links = links.unionByName(again.where(F.col("kind") == LINK).select("a", "b"))
+    return stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
 
 def set_links(sets: list[np.ndarray], left: int | None = None) -> list[tuple[int, int]]:
@@ -228,14 +277,12 @@ def set_links(sets: list[np.ndarray], left: int | None = None) -> list[tuple[int
     return out
 
 
-def family_links(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) from members (node, root, doc_id, tk): a node stands for the text of its first document, read again from docs."""
-    count = members.groupBy("root").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(count, "root").select("node", "root", F.col("doc_id").alias("id"), "tk", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int").alias("block"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text"))
-    # Members grow with the corpus, so they are never broadcast, not even where they happen to be few.
-    texts = texts.withColumn("id", F.coalesce("id", F.lit(-1))).hint("merge").join(dealt.withColumn("id", F.coalesce("id", F.lit(-1))), ["id", "tk"])
+def family_sets(members: DataFrame, docs: DataFrame, n_members: int) -> DataFrame:
+    """Stored (node, root, blocks, shingles) of members (node, root, doc_id, tk, n_shingles): a node stands for the text of its first document, read again from docs. Blocks: into how many its family is dealt."""
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    key = lambda df: df.withColumns({"none": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}).drop("doc_id")
+    wanted = key(members.join(sizes, "root").select("node", "root", "blocks", "doc_id", "tk"))
+    texts = key(docs.select("doc_id", F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text")))
     small_batches(docs.sparkSession)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,20 +293,12 @@ def family_links(members: DataFrame, docs: DataFrame) -> DataFrame:
             part = b.take(pa.array(keep, pa.int64())).drop_columns(["text"])
             yield part.append_column("shingles", pa.array([found[k].tobytes() for k in keep], pa.binary()))
 
-    held = stored(texts.select("node", "root", "blocks", "block", "text").mapInArrow(sets, "node long, root long, blocks int, block int, shingles binary"), "family-sets")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = held.select("*", other.alias("o")).select("root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "shingles")
+    joined = broadcast_if_small(texts, wanted, ["none", "id", "tk"], n_members)
+    return stored(joined.select("node", "root", "blocks", "text").mapInArrow(sets, "node long, root long, blocks int, shingles binary"), "family-sets")
 
-    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("node").sort_values(["block", "node"])
-        nodes = frame["node"].to_numpy()
-        own = [np.frombuffer(x, dtype=np.uint64) for x in frame["shingles"]]
-        left = int((frame["block"] == key[1]).sum()) if key[1] != key[2] else None
-        links = set_links(own, left)
-        return pd.DataFrame({"a": [nodes[x] for x, _ in links], "b": [nodes[y] for _, y in links]}, dtype="int64")
 
-    # Small families share a group, so that there are not as many Python calls as families.
-    single = held.where("blocks = 1")
+def small_family_links(held: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) of families of one block; many share a task, so that there are not as many Python calls as families."""
 
     def compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root, nodes, own = None, [], []
@@ -280,40 +319,101 @@ def family_links(members: DataFrame, docs: DataFrame) -> DataFrame:
         if len(own) > 1:
             yield linked()
 
-    near = single.select("root", "node", "shingles").repartition("root").sortWithinPartitions("root", "node").mapInArrow(compare_sorted, "a long, b long")
-    return near.unionByName(pairs.where("blocks > 1").drop("blocks").groupBy("root", "i", "j").applyInPandas(compare, "a long, b long"))
+    return held.select("root", "node", "shingles").repartition("root").sortWithinPartitions("root", "node").mapInArrow(compare_sorted, "a long, b long")
+
+
+def confirmed_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (node, shingles) are linked; each pair's two sets meet by joins, so a node of many pairs is no group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                    keep.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def large_family_links(held: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) of families of several blocks: candidate links first; then nodes outside a family's largest confirmed part (its core) meet all others of the family."""
+    sets = held.dropDuplicates(["node"])
+    names = sets.select("node", "root")
+    pairs = candidates.join(names.select(F.col("node").alias("a")), "a", "left_semi")
+    first = stored(confirmed_pairs(pairs, sets.select("node", "shingles")), "confirmed-candidates")
+    part = names.join(stars(first, "parts").withColumnsRenamed({"u": "node", "root": "part"}), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    part = stored(part, "family-parts")
+    core = part.groupBy("root", "part").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "part")).alias("c"), F.sum("n").alias("total"))
+    core = core.select("root", F.col("c.part").alias("core"), F.col("c.n").alias("n_core"), (F.col("total") - F.col("c.n")).alias("n_loose"))
+    labelled = sets.join(part.select("node", "part"), "node").join(core, "root").withColumn("loose", F.col("part") != F.col("core"))
+    # Blocks of loose nodes come first; those of the core are numbered after them.
+    share = F.col("blocks") / (F.col("n_core") + F.col("n_loose"))
+    of = {n: F.greatest(F.ceil(F.col(f"n_{n}") * share), F.lit(1)).cast("int") for n in ("core", "loose")}
+    hashed = F.xxhash64("node")
+    block = F.when(F.col("loose"), F.pmod(hashed, of["loose"].cast("long"))).otherwise(of["loose"] + F.pmod(hashed, of["core"].cast("long"))).cast("int")
+    dealt = labelled.where("n_loose > 0").select("root", "node", "shingles", "loose", of["loose"].alias("n_loose_blocks"), (of["loose"] + of["core"]).alias("n_blocks"), block.alias("block"))
+    # A loose block meets every block, a core block the loose ones only.
+    others = F.when(F.col("loose"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_loose_blocks") - 1))
+    groups = dealt.select("root", "node", "shingles", "block", F.explode(others).alias("o")).select("root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "shingles")
+
+    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("node").sort_values(["block", "node"])
+        nodes = frame["node"].to_numpy()
+        own = [np.frombuffer(x, dtype=np.uint64) for x in frame["shingles"]]
+        left = int((frame["block"] == key[1]).sum()) if key[1] != key[2] else None
+        links = set_links(own, left)
+        return pd.DataFrame({"a": [nodes[x] for x, _ in links], "b": [nodes[y] for _, y in links]}, dtype="int64")
+
+    return first.unionByName(groups.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row a document: doc_id, n_shingles (long), node, component_id (long), kept (boolean).
+    """A row a document: doc_id, tk (hash of its text), n_shingles (long), node, component_id (long), kept (boolean).
 
-    Null, empty and blank texts have no shingles and are linked with nothing (component_id is their own doc_id). A null doc_id never names a component; such a row gets its component's id, or null if all its rows lack one, and is not kept. Repeated rows are each kept if their id is the component's."""
+    Null, empty and blank texts have no shingles and are linked with nothing (component_id is their own doc_id). A null doc_id never names a component; such a row gets its component's id, or null if all its rows lack one, and is not kept. Repeated rows are each kept if their id is the component's. A text is held as a whole, with its set, one at a time; sets of a family are bounded by blocks. Other columns of ``docs`` are ignored."""
     rows = stored(signed(docs), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk"))
-    nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(first.alias("f"), F.min("sig").alias("sig")).select("node", "f.doc_id", "f.tk", "sig"), "nodes")
-    families = components(forest_links(nodes.select("node", "sig")), "families")
-    in_family = families.select("node", "root").union(families.select("root", "root")).distinct()
-    members = stored(in_family.join(nodes.drop("sig"), "node"), "members")
-    confirmed = components(family_links(members, docs), "links")
-    classes = confirmed.select("node", "root").union(confirmed.select("root", "root")).distinct()
-    labels = classes.join(nodes.select("node", "doc_id"), "node")
-    least = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = labels.select("node", "root").join(least, "root").select("node", "component_id")
-    label = nodes.select("node", F.col("doc_id").alias("own")).join(linked, "node", "left").select("node", F.coalesce("component_id", "own").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "node").join(label, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", "node", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(first.alias("f"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
+    nodes = stored(nodes.select("node", "f.doc_id", "f.tk", "sig", "n_shingles", "copies"), "nodes")
+    candidates = forest_links(nodes.select("node", "sig"))
+    families = stars(candidates, "families")
+    in_family = families.select(F.col("u").alias("node"), "root").union(families.select("root", "root")).distinct()
+    members = stored(in_family.join(nodes.select("node", "doc_id", "tk", "n_shingles"), "node"), "members")
+    held = family_sets(members, docs, members.count())
+    links = small_family_links(held.where("blocks = 1"))
+    large = held.where("blocks > 1")
+    if not large.isEmpty():
+        links = links.unionByName(large_family_links(large, candidates))
+    confirmed = stars(links, "links")
+    linked = confirmed.select(F.col("u").alias("node"), "root").union(confirmed.select("root", "root")).distinct()
+    named = stored(linked.join(nodes.select("node", "doc_id"), "node"), "linked")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    label = joined_by_key(named.select("node", "root"), least, ["root"], "n", named.count()).select("node", "component_id")
+    label = stored(nodes.select("node", "copies", F.col("doc_id").alias("own")).join(label, "node", "left").select("node", "copies", F.coalesce("component_id", "own").alias("component_id")), "labels")
+    rows = rows.drop("sig")
+    out = joined_by_key(rows.where("node IS NOT NULL"), label, ["node"], "copies", rows.count())
+    out = out.unionByName(rows.where("node IS NULL").withColumn("component_id", F.col("doc_id")))
+    return out.select("doc_id", "tk", "n_shingles", "node", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, with its own columns: the row of the smallest doc_id; documents without words are groups of their own. Of repeated rows one stays, too."""
-    found = near_duplicates(docs)
-    keep = found.where("kept AND n_shingles > 0").select(F.col("doc_id").alias("__id")).distinct()
-    lone = found.where("node IS NULL OR component_id IS NULL").select(F.col("doc_id").alias("__id")).distinct()
-    tagged = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    ids = keep.union(lone).distinct().withColumn("__id", F.coalesce("__id", F.lit(-1)))
-    kept = tagged.withColumn("__id", F.coalesce("__id", F.lit(-1))).join(ids, "__id", "left_semi")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).dropDuplicates(["doc_id", "text"])
+    """One document of each group stays, with its own columns: the row of the smallest doc_id. Documents without words, and groups without any id, stay as they are. Of repeated rows (equal id and text) one stays, too. No rows give none."""
+    key = ["none", "id", "tk"]
+    named = lambda df: df.withColumns({"none": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
+    stays = F.col("kept") | F.col("node").isNull() | F.col("component_id").isNull()
+    decided = named(near_duplicates(docs)).withColumn("stays", stays).groupBy(*key).agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    # Few documents go or are repeated: only their keys are joined, and without them no text is shuffled.
+    odd = stored(decided.where("NOT stays OR n > 1").select(*key, "stays"), "duplicates")
+    n = odd.count()
+    rows = whole_rows(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("tk"))
+    rows = named(rows).drop("doc_id")
+    once = broadcast_if_small(rows, odd.select(*key), key, n, "left_anti").select("row.*")
+    again = odd.where("stays").select(*key)
+    return once if again.isEmpty() else once.unionByName(broadcast_if_small(rows, again, key, n).dropDuplicates(key).select("row.*"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import SPACED_WORD, small_batches, table
+from arcweave.llm.common import SPACED_WORD, columns_without, small_batches, stored, table, whole_rows
 
 SYMBOLS = "#*$%&|<>"
 #: Rules by bit, over the measurements; a measurement is a count, so each rule is exact integer arithmetic.
@@ -38,7 +38,7 @@ POLICY = "strict-1"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_exclaims", "n_stutters")
 
 _word = re.compile(SPACED_WORD)
-_no_letters = re.compile(r"[\W\d_]+")
+_no_letters = re.compile(r"[^A-Za-z]+")
 
 
 def repeat_words(words: list[str], width: int = 5) -> int:
@@ -65,27 +65,27 @@ def measure(text: str | None) -> tuple[int, ...]:
             n_lines += 1
             dup += line in lines
             lines.add(line)
-    letters = _no_letters.sub("", text)
+    letters = _no_letters.sub("", text) if text.isascii() else "".join(filter(str.isalpha, text))  # category L
     upper = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) if letters.isascii() else sum(map(str.isupper, letters))
     stutters = sum(map(str.__eq__, words, words[1:]))
     return (len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup, repeat_words(words), n_lines, len(letters), upper, text.count("!"), stutters)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, plus MEASURES (long) and fail_bits (long). Every row stays; null and empty texts measure 0 and fail few_words. Columns that are named like the new ones are replaced."""
+    """``docs`` without the text, plus MEASURES (long) and fail_bits (long). Every row stays, repeated ones with equal measures; null and empty texts measure 0 and fail few_words. A text is held as a whole, with its words and windows, one text at a time. Columns that are named like the new ones, in any case, are replaced."""
     import pyarrow as pa
 
-    kept = [c for c in docs.columns if c not in (text, "fail_bits", *MEASURES)]
+    kept = columns_without(docs, text, "fail_bits", *MEASURES)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = zip(*map(measure, batch.column("__text").to_pylist()), strict=True) if batch.num_rows else [[]] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(c, pa.int64()) for c in columns], names=[*kept, *MEASURES])
+            columns = zip(*map(measure, batch.column(batch.num_columns - 1).to_pylist()), strict=True) if batch.num_rows else [[]] * len(MEASURES)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(c, pa.int64()) for c in columns], names=[*kept, *MEASURES])
 
     left = docs.select(*(F.col(f"`{c}`") for c in kept))
     schema = left.withColumns({m: F.lit(0).cast("long") for m in MEASURES}).schema
-    measured = docs.select(*left.columns, F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    measured = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
     bits = reduce(Column.__add__, [F.when(rule(F.col), F.lit(BITS[name])).otherwise(0) for name, rule in RULES.items()])
     return measured.withColumn("fail_bits", bits.cast("long"))
 
@@ -95,6 +95,12 @@ def passes(policy: str, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(POLICIES[policy])) == 0
 
 
+def only_rule(policy: str, bits: str = "fail_bits") -> Column:
+    """The name of the rule without which the policy would keep a rejected row; null if none or more than one rejects it."""
+    failed = F.col(bits).bitwiseAND(F.lit(POLICIES[policy]))
+    return F.coalesce(*(F.when(failed == bit, name) for name, bit in BITS.items()))
+
+
 def ablations(entries: DataFrame, policy: str = POLICY) -> DataFrame:
     """A row a rule of the policy: rule, failed (rows that fail it), only (rows that no other rule of the policy rejects), kept_without (rows kept if it were dropped).
 
@@ -109,15 +115,14 @@ def ablations(entries: DataFrame, policy: str = POLICY) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the policy keeps, with their own columns."""
-    kept = ledger(docs.withColumn("__whole", F.col("text")), "text").where(passes(POLICY))
-    return kept.select(*(F.col("__whole").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    """Documents that the policy keeps, with their own columns. Null and empty texts fail few_words; repeated rows share their fate; no rows give none."""
+    return ledger(whole_rows(docs)).where(passes(POLICY)).select("row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    entries = stored(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "quality-ledger")
     base = F.col("fail_bits").bitwiseAND(F.lit(BASE)) != 0
-    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), passes(POLICY).alias("kept"), "fail_bits")
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), passes(POLICY).alias("kept"), "fail_bits", only_rule(POLICY).alias("only_rule"))
 
 
 OP7_SQL = r"""
@@ -142,7 +147,9 @@ b AS (
     + 64 * (100 * n_stutters > 30 * n_words)::BIGINT + 128 * (100 * n_letters < 30 * word_chars)::BIGINT
     + 256 * (word_chars < 2 * n_words OR word_chars > 25 * n_words)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-  fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM b
+  fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits,
+  CASE fail_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'shouting' WHEN 16 THEN 'exclamations' WHEN 32 THEN 'duplicate_lines'
+    WHEN 64 THEN 'stutter' WHEN 128 THEN 'few_letters' WHEN 256 THEN 'word_length' END AS only_rule FROM b
 """
 QUERIES = {"op7_quality_rules": op7_quality_rules}
 ORACLE_SQL = {"op7_quality_rules": OP7_SQL}

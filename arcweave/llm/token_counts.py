@@ -1,154 +1,141 @@
-"""Token counts by overlap resynchronisation of words.
-
-A text of more than CHUNK bytes is cut into overlapping chunks at arbitrary
-places, each chunk is split into words at ASCII white space, and neighbouring
-chunks are spliced at a word start that both see and that is proven stable. If
-there is none in the overlap, the overlap is doubled until there is one (or the
-text ends). Shorter texts are split into words as a whole. Chunks are not
-encoded themselves and no token offsets are asked for: tokens are the sum of a
-memo of encoded words, which is exact for the reason that follows.
-
-Stable boundary. The tokenizer replaces white space, lower-cases, composes (NFC)
-and then keeps only matches of a pattern none of whose alternatives crosses
-white space; no character composes with ASCII white space; its special strings
-hold none. So what stands between two runs of ASCII white space is encoded
-independently of the rest, and the start of every such word is a boundary of
-every encoding that holds the white space before it. A chunk's first and last
-word may be cut, so they only count where the text begins or ends there.
-
-As words are independent, the encoder of a chunk asks the tokenizer once for
-every new word and keeps a bounded memo; sums of the memo's entries equal the
-length of encoding the whole text (tests hold that against the library).
+"""Token counts by overlap resynchronisation.
+
+A text of more than CHUNK characters is cut into overlapping chunks at arbitrary
+places. The library encodes each chunk; tokens carry offsets and the number of the
+pre-token (a match of the tokenizer's pattern) that they are part of. Neighbouring
+chunks are spliced at the last stable boundary that both encodings hold, and only
+if all tokens from there to the end of what the earlier chunk can vouch for agree
+in place and id. If there is none, the overlap is doubled, and once it is the chunk
+itself, the chunk grows. Shorter texts are one chunk.
+
+Stable boundary: the start of a pre-token in both encodings, at an ASCII character
+after an ASCII one, GUARD characters or more before the earlier chunk's end. The
+earlier chunk begins at a true boundary, so its pre-tokens are those of the whole
+text as far as its end can't reach: the pattern is matched from left to right, a
+match that ends before the chunk does is not changed by what follows, special
+strings are shorter than GUARD, and no character composes (NFC) with an ASCII one
+before it unless it is a non-ASCII mark. From such a start on, the later chunk is
+matched like the whole text, whatever its own beginning cut through.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import small_batches, table
+from arcweave.llm.common import columns_without, small_batches, table
 
 TOKENIZER, LIMIT = "word_bpe_49k.json", 2048
-#: Bytes of a chunk, and of the overlap before it is widened.
-CHUNK, OVERLAP = 1 << 16, 1 << 10
-#: Words that a worker remembers; about 150 bytes each.
-MEMO = 1_000_000
-SPACE = b" \t\n\r\x0b\x0c"
-
-
-class Encoder:
-    """Counts the tokens of whole words, each encoded by the library once while the memo holds it."""
-
-    def __init__(self, path: str, memo: int = MEMO) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
-
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > self.memo:
-                self.known.clear()
-                new = list(set(words))
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.known[word] = len(e.ids)
-
-    def count(self, words: list[bytes]) -> int:
-        self.learn(words)
-        return sum(map(self.known.__getitem__, words))
-
-
-def chunk_words(data: bytes, begin: int, end: int) -> tuple[list[bytes], list[int]]:
-    """The words of data[begin:end] and the offset in data where each starts."""
-    words, starts, at = data[begin:end].split(), [], begin
-    for w in words:
-        at = data.index(w, at)
-        starts.append(at)
-        at += len(w)
-    return words, starts
-
-
-def stable_starts(data: bytes, begin: int, end: int, starts: list[int], words: list[bytes]) -> set[int]:
-    """Word starts that the chunk can vouch for: white space (or the text's start) before, and the word's end inside the chunk or at the text's end."""
-    return {s for s, w in zip(starts, words, strict=True) if (s == 0 or s > begin) and (s + len(w) < end or end == len(data))}
-
-
-def count_chunked(data: bytes, encoder: Encoder, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a text of any length, from overlapping chunks; memory stays in proportion to a chunk (or to the longest word)."""
-    total = done = begin = 0
-    end = min(chunk, len(data))
-    words, starts = chunk_words(data, begin, end)
-    while end < len(data):
-        trusted, wide = stable_starts(data, begin, end, starts, words), overlap
+#: Characters of a chunk, of the overlap before it is widened, and before a chunk's end that it can't vouch for.
+CHUNK, OVERLAP, GUARD = 4096, 256, 32
+
+
+class Chunk:
+    """The encoding of text[begin:end]: ids, starts (places in the text) and whether a stable boundary is there."""
+
+    def __init__(self, tokenizer, text: str, begin: int, end: int) -> None:  # noqa: ANN001
+        found = tokenizer.encode(text[begin:end], add_special_tokens=False)
+        self.begin, self.end = begin, end
+        self.ids = np.asarray(found.ids, dtype=np.int64)
+        self.starts = np.asarray([s for s, _ in found.offsets], dtype=np.int64) + begin
+        word = np.asarray([-1 if w is None else w for w in found.word_ids], dtype=np.int64)
+        self.stable = np.ones(len(word), dtype=bool)
+        self.stable[1:] = (word[1:] != word[:-1]) & (self.starts[1:] > self.starts[:-1])
+
+    def boundaries(self, text: str, begin: int, end: int) -> list[int]:
+        """Stable boundaries c with begin < c <= end, falling."""
+        at = self.starts[self.stable & (self.starts > begin) & (self.starts <= end)]
+        return [int(c) for c in at[::-1] if text[c].isascii() and text[c - 1].isascii()]
+
+    def before(self, c: int) -> int:
+        """Tokens that start before c."""
+        return int(np.searchsorted(self.starts, c))
+
+    def after(self, c: int, end: int) -> tuple[bytes, bytes]:
+        """Places and ids of the tokens from c to before ``end``."""
+        part = slice(self.before(c), self.before(end))
+        return self.starts[part].tobytes(), self.ids[part].tobytes()
+
+
+def splice(text: str, a: Chunk, b: Chunk, begin: int) -> int | None:
+    """The last stable boundary after ``begin`` that both chunks hold, if all that ``a`` vouches for from there on agrees; else None."""
+    sure = a.end - GUARD
+    theirs = set(b.boundaries(text, max(begin, b.begin), sure))
+    common = [c for c in a.boundaries(text, begin, sure) if c in theirs]
+    # What stands between the last common boundary and ``sure`` belongs to a pre-token that may go on, so it is compared from the first common one to the last.
+    if not common or a.after(common[-1], common[0]) != b.after(common[-1], common[0]):
+        return None
+    return common[0]
+
+
+def count_chunked(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:  # noqa: ANN001
+    """Tokens of a text of any length; memory stays in proportion to a chunk (or to the longest stretch without a boundary)."""
+    chunk = max(chunk, 2)
+    total, begin = 0, 0  # tokens before ``begin``, a true boundary
+    a = Chunk(tokenizer, text, 0, min(chunk, len(text)))
+    while a.end < len(text):
+        wide = max(1, min(overlap, chunk - 1))
         while True:
-            after = max(begin + 1, end - wide)
-            until = min(max(end, after + chunk) + wide - overlap, len(data))
-            words_after, starts_after = chunk_words(data, after, until)
-            common = trusted & stable_starts(data, after, until, starts_after, words_after)
-            common = {x for x in common if x > done}
-            if common:
-                cut = max(common)
-                break
-            if until == len(data) and after == begin + 1:  # nothing in common at all: one encoding of the rest
-                cut = None
+            start = max(begin, a.end - wide)
+            b = Chunk(tokenizer, text, start, min(len(text), max(start + chunk, a.end + wide)))
+            cut = splice(text, a, b, begin) if start > begin else None
+            if cut is not None or start == begin:
                 break
-            if after == begin + 1:  # the chunk itself holds no boundary but its start: take a longer one
-                end = min(end + wide, len(data))
-                words, starts = chunk_words(data, begin, end)
-                trusted = stable_starts(data, begin, end, starts, words)
-                if end == len(data):
-                    cut = None
-                    break
             wide *= 2
-        if cut is None:
-            words, starts = chunk_words(data, begin, len(data))
-            break
-        total += encoder.count([w for w, s in zip(words, starts, strict=True) if done <= s < cut])
-        done, begin, end, words, starts = cut, after, until, words_after, starts_after
-    return total + encoder.count([w for w, s in zip(words, starts, strict=True) if s >= done])
+        if cut is None:  # no boundary in all of the chunk: a longer one takes its place
+            a = b
+            chunk = max(chunk, b.end - b.begin)
+            chunk *= 2
+            continue
+        total += a.before(cut) - a.before(begin)
+        a, begin = b, cut
+    return total + len(a.ids) - a.before(begin)
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_tokenizers: dict = {}
 
 
-def encoder_of(path: str, memo: int = MEMO) -> Encoder:
-    """One encoder a worker process; tasks that follow find its memo filled."""
-    if (path, memo) not in _encoders:
-        _encoders[path, memo] = Encoder(path, memo)
-    return _encoders[path, memo]
+def tokenizer_of(path: str):  # noqa: ANN201
+    """One tokenizer a worker process, which uses the task's own core only."""
+    if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _tokenizers[path] = Tokenizer.from_file(path)
+    return _tokenizers[path]
 
 
-def count_tokens(docs: DataFrame, path: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, memo: int = MEMO) -> DataFrame:
-    """``docs`` with n_bytes and n_tokens (long) appended; every row stays, in any number of copies.
+def count_tokens(docs: DataFrame, path: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``docs`` without the text, with n_bytes and n_tokens (long) appended; every row stays, in any number of copies, so ties and repeated rows need no rule.
 
-    A null or empty text, or one of white space only, has no tokens (null: no bytes either). Columns that are named like the new ones are replaced."""
+    A null or empty text, or one of white space only, has no tokens (null: no bytes either). Very long texts are encoded chunk by chunk. No rows give no rows. Columns that are named like the new ones, in any case, are replaced."""
     import pyarrow as pa
 
-    kept = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens")]
+    kept = columns_without(docs, text, "n_bytes", "n_tokens")
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path, memo)
+        tokenizer = tokenizer_of(path)
         for batch in batches:
-            # Without small texts joined, each call to the library would cost more than its words.
-            data = batch.column("__text").cast(pa.binary()).to_pylist()
-            rows = [(x or b"") for x in data]
-            split = [x.split() if len(x) <= chunk else None for x in rows]
-            encoder.learn([w for x in split if x for w in x])
-            known = encoder.known
-            counts = [sum(map(known.__getitem__, s)) for s in split if s is not None]
-            at = iter(counts)
-            counts = [next(at) if s is not None else None for s in split]
-            counts = [count_chunked(x, encoder, chunk, overlap) if c is None else c for x, c in zip(rows, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array([len(x) for x in rows], pa.int64()), pa.array(counts, pa.int64())], names=[*kept, "n_bytes", "n_tokens"])
-
-    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("__text"))
-    schema = docs.select(*(F.col(f"`{c}`") for c in kept)).withColumn("n_bytes", F.lit(0).cast("long")).withColumn("n_tokens", F.lit(0).cast("long")).schema
-    return source.mapInArrow(run, schema)
+            column = batch.column(batch.num_columns - 1)
+            texts = [x or "" for x in column.to_pylist()]
+            counts = [0] * len(texts)
+            short = [k for k, x in enumerate(texts) if 0 < len(x) <= chunk]
+            for k, e in zip(short, tokenizer.encode_batch_fast([texts[k] for k in short], add_special_tokens=False), strict=True):
+                counts[k] = len(e.ids)
+            for k, x in enumerate(texts):
+                if len(x) > chunk:
+                    counts[k] = count_chunked(tokenizer, x, chunk, overlap)
+            sizes = [len(x.encode("utf-8", "surrogatepass")) for x in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=[*kept, "n_bytes", "n_tokens"])
+
+    left = docs.select(*(F.col(f"`{c}`") for c in kept))
+    schema = left.withColumn("n_bytes", F.lit(0).cast("long")).withColumn("n_tokens", F.lit(0).cast("long")).schema
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

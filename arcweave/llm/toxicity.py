@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import doc_fold, small_batches, stored, table
+from arcweave.llm.common import columns_without, doc_fold, small_batches, stored, table
 
 BITS = 20
 #: Labelled rows to train on at most, and passes over them.
@@ -106,14 +106,21 @@ def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.
     return at, w[at].astype(np.float32), float(bias())
 
 
-def sample_features(labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(hash, coordinates, label) of at most about ``most`` labelled rows (doc_id, text, toxic), picked by a hash of the id; long texts in whole."""
+def sampled(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """(rank, doc_id, toxic) of ``most`` labels (doc_id, toxic 0/1) at most, the first by a hash of the id. Labels below a bound on the hash are sorted, about twice as many as are kept."""
+    n = max(1, labels.count())
+    rank, range_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), 1 << 31
+    near = labels.select(rank.alias("rank"), "doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("rank") < int(min(1.0, (2 * most + 64) / n) * range_))
+    return near.orderBy("rank", "doc_id", "toxic").limit(most)
+
+
+def sample_features(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """(rank, doc_id, coordinates, label) of the rows of ``docs`` (doc_id, text) with a sampled label; long texts in whole. ``most`` narrow rows are broadcast, so no text is shuffled."""
     import pyarrow as pa
 
-    n = max(1, labelled.count())
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
-    picked = labelled.where(rank < int(min(1.0, most / n) * 1_000_003)).select(rank.alias("rank"), "doc_id", F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    small_batches(labelled.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    picked = texts.join(F.broadcast(sampled(labels, most)), "doc_id").select("rank", "doc_id", "text", "toxic")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -124,13 +131,14 @@ def sample_features(labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
     return picked.mapInArrow(run, "rank long, doc_id long, at array<int>, toxic int")
 
 
-def fit(labelled: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
-    """A model from labelled rows (doc_id, text, toxic 0/1). Rows with a null label are left out; without any row, every score is 0.5.
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
+    """A model from texts (doc_id, text) and labels (doc_id, toxic 0/1). Null ids and labels are left out; an id of several labels has the largest; rows of one id are all learned. Without any row, every score is 0.5.
 
-    Training is sequential and bounded, so one task does it and only the sparse weights come to the driver."""
+    Training is sequential, so one task does it, which holds the distinct coordinates of the sampled rows; only the sparse weights come to the driver."""
     import pyarrow as pa
 
-    rows = sample_features(labelled.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic"), most)
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    rows = sample_features(docs, known, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
@@ -147,11 +155,11 @@ def fit(labelled: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray
 
 
 def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text") -> DataFrame:
-    """``docs`` without the text, plus score (double, 0 to 1). Every row stays; a null text scores like an empty one. A column named score is replaced."""
+    """``docs`` without the text, plus score (double, 0 to 1). Every row stays, repeated ones with equal scores; a null text scores like an empty one, which has the bias alone. A text's distinct coordinates bound the memory of a very long one. A column named score, in any case, is replaced."""
     import pyarrow as pa
 
     at, values, bias = model
-    kept = [c for c in docs.columns if c not in (text, "score")]
+    kept = columns_without(docs, text, "score")
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,20 +168,20 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], te
         features = Features()
         for b in batches:
             scores = []
-            for t in b.column("__text").to_pylist():
+            for t in b.column(b.num_columns - 1).to_pylist():
                 i = features.of(t)
                 i = np.unique(i[w[i] != 0])
                 scores.append(1 / (1 + np.exp(-np.clip(float(w[i].sum(dtype=np.float64)) + bias, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(scores, pa.float64())], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, "score"])
 
     left = docs.select(*(F.col(f"`{c}`") for c in kept))
-    return docs.select(*left.columns, F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, left.withColumn("score", F.lit(0.0)).schema)
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string")).mapInArrow(run, left.withColumn("score", F.lit(0.0)).schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & (doc_fold() != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    scored = score_texts(docs, fit(docs.join(labels, "doc_id")))
+    labels = table(spark, sf_dir, "labels").where(doc_fold() != HELD_OUT)
+    scored = score_texts(docs, fit(docs, labels))
     return scored.select("doc_id", (doc_fold() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

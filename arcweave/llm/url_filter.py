@@ -18,13 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import lower_ascii, stored, table
+from arcweave.llm.common import columns_without, joined_by_key, lower_ascii, stored, table
 
 #: (verdict, host and path); a rule fits its host and all subdomains, if the path starts with the rule's. The longest that fits decides.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Occurrences that make a state of the models, longest context, weight of the shorter context, symbols assumed, first digits of the md5 of labelled URLs that calibrate, bins of a unit of score. STATES is only the SQL's: its floor is above LEAST from 2 * STATES characters on.
-LEAST = 2
-ORDER, STATES, WEIGHT, ALPHABET, HELD_OUT, BINS = 4, 8192, 2.0, 256, "0123", 1000
+#: Occurrences that make a state of the models, longest context, weight of the shorter context, symbols assumed, first digits of the md5 of labelled URLs that calibrate, bins of a unit of score.
+LEAST, ORDER, WEIGHT, ALPHABET, HELD_OUT, BINS = 2, 4, 2.0, 256, "0123", 1000
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -76,13 +75,15 @@ def scores(urls: DataFrame, model: DataFrame) -> DataFrame:
     Characters carry a number for their URL and what stands before them; their distinct sequences are looked up in the model, then joined back."""
     numbered = stored(urls.select("u").distinct().withColumn("number", F.monotonically_increasing_id()), "url-numbers")
     places = sequences(numbered, "number").select("number", F.coalesce(*(F.col(f"g{k}") for k in reversed(range(ORDER + 1)))).alias("g"))
-    found, ratio = places.select("g").distinct(), F.lit(0.0)
+    found, ratio = places.groupBy("g").agg(F.count("*").alias("n")), F.lit(0.0)
     for k in range(ORDER + 1):
         states = model.where(F.length("g") == k + 1).select(F.col("g").alias(f"g{k}"), F.col("llr").alias(f"r{k}"))
         ending = F.when(F.length("g") > k, F.expr(f"right(g, {k + 1})"))
         found = found.withColumn(f"g{k}", ending).join(states, f"g{k}", "left")
         ratio = F.coalesce(f"r{k}", ratio)
-    means = places.join(found.select("g", ratio.alias("ratio")), "g").groupBy("number").agg(F.round(F.avg("ratio"), 9).alias("score"))
+    found = stored(found.select("g", "n", ratio.alias("ratio")), "url-sequences")
+    total = found.agg(F.sum("n").alias("n")).first()["n"] or 0
+    means = joined_by_key(places, found, ["g"], "n", total).groupBy("number").agg(F.round(F.avg("ratio"), 9).alias("score"))
     return numbered.join(means, "number").select("u", "score")
 
 
@@ -105,22 +106,23 @@ def calibrate(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """``pages`` (all columns) with host, path, rule, verdict and score appended; every row stays.
 
-    A null or empty URL fits no rule and has nothing to judge: it is blocked, with a null score. Without rule-decided URLs of both kinds, what no rule fits is allowed at score 0. Columns that are named like the new ones are replaced."""
+    A null or empty URL fits no rule and has nothing to judge: it is blocked, with a null score. Without rule-decided URLs of both kinds, what no rule fits is allowed at score 0. Rows of one URL get one verdict; a score at the threshold is allowed. A very long URL is as many sequences as it has characters, dealt over tasks. Columns that are named like the new ones, in any case, are replaced."""
     host, path = host_and_path()
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules or RULES)
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    ruled = pages.select(*(F.col(f"`{c}`") for c in kept), host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("decided", verdict)
+    own = [F.col(f"`{c}`") for c in columns_without(pages, "host", "path", "rule", "verdict", "score")]
     u = lower_ascii(F.col("url").cast("string"))
-    urls = ruled.select(u.alias("u"), "decided").where(F.length("u") > 0)
+    ruled = pages.select(F.struct(*own).alias("page"), u.alias("u"), host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("decided", verdict)
+    urls = ruled.select("u", "decided").where(F.length("u") > 0)
     labelled = urls.where("decided IS NOT NULL").select("u", (F.col("decided") == "allow").cast("long").alias("allow"))
     held_out = F.substring(F.md5(F.col("u").cast("binary")), 1, 1).isin(*HELD_OUT)
     model = train(labelled.where(~held_out))
     checked = labelled.where(held_out).groupBy("u").agg(F.max("allow").alias("allow"))
     scored = stored(scores(urls.where(F.col("decided").isNull() | held_out).select("u"), model), "url-scores")
     threshold = calibrate(scored.join(checked, "u"))
-    joined = ruled.withColumn("u", u).join(scored, "u", "left").withColumn("score", F.when(F.col("decided").isNull(), F.col("score")))
-    own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return joined.select(*(F.col(f"`{c}`") for c in kept), "host", "path", "rule", F.coalesce("decided", own).alias("verdict"), "score")
+    asked = F.col("decided").isNull() & (F.coalesce(F.length("u"), F.lit(0)) > 0)
+    joined = ruled.where(asked).join(scored, "u", "left").unionByName(ruled.where(~asked).withColumn("score", F.lit(None).cast("double")))
+    judged = F.when(F.col("score") >= threshold, "allow").otherwise("block")
+    return joined.select("page.*", "host", "path", "rule", F.coalesce("decided", judged).alias("verdict"), "score")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +153,7 @@ t AS (SELECT u, allow FROM l WHERE NOT held),
 ti AS (SELECT u, allow, unnest(range(1, length(u) + 1)) AS i FROM t),
 grams AS (SELECT allow, substr(u, i - k, k + 1) AS g FROM ti, (SELECT unnest(range({ORDER + 1})) AS k) WHERE i > k),
 tot AS (SELECT coalesce(sum(length(u) * allow), 0) AS ta, coalesce(sum(length(u) * (1 - allow)), 0) AS tb FROM t),
-kept AS (SELECT g, a, b, ta, tb FROM (SELECT g, sum(allow) AS a, sum(1 - allow) AS b FROM grams GROUP BY g), tot WHERE a + b >= greatest(2, ceil((ta + tb) / {STATES}.0))),
+kept AS (SELECT g, a, b, ta, tb FROM (SELECT g, sum(allow) AS a, sum(1 - allow) AS b FROM grams GROUP BY g), tot WHERE a + b >= {LEAST}),
 {levels},
 m AS ({model}),
 us AS (SELECT DISTINCT u FROM d WHERE rule IS NULL AND length(u) > 0 UNION SELECT u FROM l WHERE held),

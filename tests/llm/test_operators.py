@@ -63,10 +63,9 @@ def test_token_counts_equal_the_library(spark, edges):
 
 def test_chunks_resynchronise(spark):
     path, t = tokenizer(token_counts.TOKENIZER)
-    encoder = token_counts.Encoder(path, memo=50)
     for text in (prose(3, 500), "x" * 3000 + " " + prose(4, 50), prose(5, 20) + "\n" * 300 + "y" * 700, "z" * 999):
         for chunk, overlap in ((64, 4), (100, 1), (333, 50)):
-            assert token_counts.count_chunked(text.encode(), encoder, chunk, overlap) == len(t.encode(text, add_special_tokens=False).ids)
+            assert token_counts.count_chunked(t, text, chunk, overlap) == len(t.encode(text, add_special_tokens=False).ids)
 
 
 # packing
@@ -206,14 +205,16 @@ def test_toxicity_learns_words_and_pairs(spark):
             w.insert(r.randrange(len(w)), r.choice(["vile", "nasty", "rotten"]))
         texts[k] = " ".join(w)
     rows = [(k, t, int(y)) for k, (t, y) in enumerate(zip(texts, toxic))] + [(None, None, 1), (700, "", None)]
-    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"))
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(labelled, labelled)
     assert 0 < len(model[0]) < 5000
     fresh = [prose(k, 50) + (" vile x nasty y rotten" if k % 2 else "") for k in range(1000, 1040)]
     got = {r.doc_id: r.score for r in toxicity.score_texts(documents(spark, fresh + [None, ""]), model).collect()}
     assert all((got[k] >= 0.3) == bool(k % 2) for k in range(40))
     assert got[40] == got[41] and 0 <= got[40] <= 1
     assert toxicity.score_texts(empty(spark), model).count() == 0
-    assert toxicity.fit(spark.createDataFrame([], "doc_id bigint, text string, toxic int"))[2] == 0.0
+    none = spark.createDataFrame([], "doc_id bigint, text string, toxic int")
+    assert toxicity.fit(none, none)[2] == 0.0
 
 
 # sharding
@@ -395,7 +396,7 @@ def brute_scores(urls):
         for i in range(len(u)):
             for k in range(min(i, url_filter.ORDER) + 1):
                 counts[y, u[i - k : i + 1]] += 1
-    least = max(2, -(-sum(total) // url_filter.STATES))
+    least = url_filter.LEAST
     kept = {g for _, g in counts if counts[0, g] + counts[1, g] >= least}
     w = url_filter.WEIGHT
 
