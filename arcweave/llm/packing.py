@@ -5,12 +5,12 @@
    the window. Only lengths, ranks and checksums are stored, never the ids.
 2. The histogram of the remaining lengths has fewer bins than the window has
    tokens, whatever the corpus' size. On it the driver enumerates shallow
-   combinations (two or three lengths) that fill a window exactly and solves
-   the non-negative least-squares problem  A x ~ counts  for their repeats.
-3. Repeats are rounded down to what the histogram still holds; residuals are
-   packed greedily, largest first, with the best pair or triple that fits; a
-   window that is not filled exactly gives its documents back, and those are cut into powers of two,
-   which laid out in falling order fill windows without a gap.
+   combinations of lengths that fill a window exactly and solves the non-negative
+   least-squares problem  A x ~ counts  for their repeats, rounds them, and solves
+   again for what is left, with fresh combinations.
+3. Residuals are packed greedily, the longest first, with lengths that fill its
+   window exactly. Documents that nothing fills a window with are few; only they
+   are cut, into powers of two, which laid out in falling order leave no gap.
 4. The plan maps (length, rank within the length) to (sequence, offset) by
    arithmetic; it is bounded by the window, so it is broadcast. Ranks come from
    per-partition counters plus offsets, so a length that holds a third of all
@@ -19,6 +19,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ from arcweave.llm.common import small_batches, stored, table
 TOKENIZER, WINDOW, END_ID = "byte_bpe_50k.json", 2048, 1
 #: Words that a worker remembers, about 250 bytes each.
 MEMO = 1_000_000
+#: Lengths of a combination at most, combinations that start with each length in a round, rounds, and documents below which combinations aren't solved for.
+DEEPEST, EACH, ROUNDS, FEW = 6, 4, 12, 64
 #: Words that one call to the library encodes.
 JOINED = 400
 
@@ -49,9 +52,10 @@ class Ids:
     any other white space are encoded whole."""
 
     def __init__(self, path: str, memo: int = MEMO) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
+        self.tokenizer, self.memo, self.known, self.older = Tokenizer.from_file(path), memo, {}, {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -61,32 +65,35 @@ class Ids:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode new pieces. Those that are a blank and a word are joined, so that one call serves many, and told apart by the tokens' offsets; a full stop or comma that ends a word after a letter is a token of its own, so the word without it is looked up."""
-        new = {x for x in pieces if x not in self.known}
-        if len(self.known) + len(new) > self.memo:
-            self.known.clear()
-            new = set(pieces)
+        new = pieces.difference(self.known)
+        if len(self.known) + len(new) > self.memo // 2:  # half of the memo is kept, so that common words survive
+            self.older, self.known = self.known, {}
+            new = pieces
+        again = new.intersection(self.older)
+        if again:
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            new = new.difference(again)
+        if not new:
+            return
         ended = {x for x in new if x[-1] in ",." and x[-2:-1].isascii() and x[-2:-1].isalpha()}
         words = (new - ended) | {x[:-1] for x in ended if x[:-1] not in self.known}
-        joined = [x for x in words if x[0] == " " and len(x) < 64 and x.find(" ", 1) < 0 and "\n" not in x and "<|" not in x]
+        joined = [x for x in words if x[0] == " " and x[1:2] not in " \n" and len(x) < 64 and "<|" not in x]  # white space leads a piece, so the rest has none
         others = list(words.difference(joined)) + [",", "."]
         self.known.update(zip(others, self.encoded(others), strict=True))
         groups = [joined[k : k + JOINED] for k in range(0, len(joined), JOINED)]
         for group, e in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids, data = np.asarray(e.ids, dtype="<u4"), self.known
-            ends = np.cumsum([len(x) for x in group])
+            ids = np.asarray(e.ids, dtype="<u4").tobytes()
+            ends = np.cumsum(list(map(len, group)))
             # A token's offset lies inside its word (the blank is trimmed off), so words end where the next one's first token begins.
-            cuts = np.searchsorted(np.asarray([o for o, _ in e.offsets], dtype=np.int64), ends)
-            at = 0
-            for x, to in zip(group, cuts.tolist(), strict=True):
-                data[x] = ids[at:to].tobytes()
-                at = to
+            cuts = (4 * np.searchsorted(np.fromiter((o for o, _ in e.offsets), dtype=np.int64, count=len(ids) // 4), ends)).tolist()
+            self.known.update(zip(group, [ids[a:b] for a, b in zip([0, *cuts], cuts)], strict=True))
         for x in ended:
             self.known[x] = self.known[x[:-1]] + self.known[x[-1]]
 
     def of(self, texts: list[str]) -> list[bytes]:
         plain = [not _other_space.search(t) for t in texts]
         pieces = [_chunk.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
-        self.learn({x for p in pieces if p for x in p})
+        self.learn(set().union(*(p for p in pieces if p)))
         known = self.known
         return [self.encoded([t])[0] if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, pieces, strict=True)]
 
@@ -137,18 +144,42 @@ def encoded_lengths(docs: DataFrame, path: str, window: int = WINDOW, end_id: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def combinations(counts: np.ndarray, window: int, most: int = 4000) -> list[tuple[int, ...]]:
-    """Exact fills of a window with two, then three lengths that occur: all pairs, and for every length the triples with the most frequent partners."""
+def combinations(counts: np.ndarray, window: int, random: np.random.Generator, each: int = EACH) -> list[tuple[int, ...]]:
+    """Fills of a window by lengths that occur: for every length all pairs, and ``each`` fills that start with it, go on with lengths drawn by their counts and end with one length or pair that leaves no gap. DEEPEST lengths at most."""
     have = np.flatnonzero(counts)
     have = have[have > 0]
-    out = [(int(a), int(window - a)) for a in have if a <= window - a and counts[window - a]]
-    frequent = have[np.argsort(-counts[have], kind="stable")][:64]
-    triples = {tuple(sorted((int(a), int(b), int(window - a - b)), reverse=True)) for a in have for b in frequent if 0 < window - a - b < window and counts[window - a - b]}
-    worth = sorted(triples, key=lambda t: (-min(counts[x] for x in t), t))
-    return out + worth[: max(0, most - len(out))]
+    if not len(have):
+        return []
+    found = {(int(window - a), int(a)) for a in have if 2 * a <= window and counts[window - a] and (2 * a < window or counts[a] > 1)}
+    # The pair that fills a gap best: the one of the larger least count.
+    pair = np.zeros(window + 1, dtype=np.int64)
+    for gap in range(2, window + 1):
+        a = have[: np.searchsorted(have, gap // 2, side="right")]
+        if len(a):
+            least = np.where(2 * a == gap, counts[a] // 2, np.minimum(counts[a], counts[gap - a]))
+            best = int(least.argmax())
+            pair[gap] = a[best] if least[best] else 0
+    drawn = random.choice(have, size=(len(have) * each, DEEPEST - 3), p=counts[have] / counts[have].sum())
+    for n, draws in zip(np.repeat(have, each).tolist(), drawn.tolist(), strict=True):
+        fill, gap = [n], window - n
+        for x in draws:
+            if gap and counts[gap]:
+                fill.append(gap)
+                gap = 0
+            elif gap and pair[gap]:
+                fill += [int(pair[gap]), int(gap - pair[gap])]
+                gap = 0
+            if not gap:
+                break
+            if x < gap:
+                fill.append(x)
+                gap -= x
+        if not gap:
+            found.add(tuple(sorted(fill, reverse=True)))
+    return sorted(found)
 
 
-def solve_nnls(columns: list[tuple[int, ...]], counts: np.ndarray, steps: int = 300) -> np.ndarray:
+def solve_nnls(columns: list[tuple[int, ...]], counts: np.ndarray, steps: int = 60) -> np.ndarray:
     """x >= 0 that minimises |A x - counts|^2 by accelerated projected gradients; column j of A counts the lengths in columns[j] (sparse, so A is kept as index lists)."""
     if not columns:
         return np.zeros(0)
@@ -175,44 +206,67 @@ def solve_nnls(columns: list[tuple[int, ...]], counts: np.ndarray, steps: int =
     return x
 
 
+def exact_fill(lengths: list[int], gap: int) -> list[int] | None:
+    """Places of lengths that add up to the gap (the earlier ones where there is a choice), or None. Reachable sums are the bits of one number a length."""
+    mask, reach = (1 << gap + 1) - 1, [1]
+    for n in reversed(lengths):
+        reach.append(reach[-1] | reach[-1] << n & mask)
+        if reach[-1] >> gap & 1:
+            break
+    else:
+        return None if gap else []
+    out, k = [], len(reach) - 1
+    while gap:
+        if not reach[k - 1] >> gap & 1:
+            out.append(len(lengths) - k)
+            gap -= lengths[len(lengths) - k]
+        k -= 1
+    return out
+
+
 def plan(counts: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
-    """(lengths, repeats) of every pattern, and how many documents of each length are left to be cut. counts[n]: documents with a rest of n, counts[0] unused."""
+    """(lengths, repeats) of every pattern, and how many documents of each length are left to be cut. counts[n]: documents with a rest of n, counts[0] unused.
+
+    Repeats are solved for, rounded and taken as far as the histogram goes; then the problem is solved again for what is left, with fresh combinations, until a round takes little. Where all repeats round to nothing, the largest are taken once."""
     left = counts.astype(np.int64).copy()
     left[0] = 0
-    found: list[tuple[tuple[int, ...], int]] = []
+    found: dict[tuple[int, ...], int] = {}
+    random = np.random.default_rng(17)
 
-    def take(pattern: tuple[int, ...], times: int) -> None:
-        need: dict[int, int] = {}
-        for n in pattern:
-            need[n] = need.get(n, 0) + 1
-        times = min([times, *(int(left[n]) // k for n, k in need.items())])
+    def take(pattern: tuple[int, ...], times: int) -> int:
+        for n in set(pattern):
+            times = min(times, int(left[n]) // pattern.count(n))
         if times > 0:
-            for n, k in need.items():
-                left[n] -= k * times
-            found.append((tuple(sorted(pattern, reverse=True)), times))
-
+            for n in pattern:
+                left[n] -= times
+            found[pattern] = found.get(pattern, 0) + times
+        return times * len(pattern)
+
+    for _ in range(ROUNDS):
+        total = int(left.sum())
+        if total < FEW:
+            break
+        columns = combinations(left, window, random)
+        x = solve_nnls(columns, left)
+        placed = 0
+        for j in np.argsort(-x, kind="stable").tolist():
+            if x[j] < 0.5 and placed > total // 4:
+                break
+            placed += take(columns[j], max(1, round(x[j])))
+        if placed < total // 20:
+            break
+    # Residuals: the longest first, each with others that fill its window exactly.
+    lengths = np.repeat(np.arange(window), left)[::-1].tolist()
+    while lengths:
+        first, lengths = lengths[0], lengths[1:]
+        others = exact_fill(lengths, window - first)
+        if others is not None:
+            take(tuple([first, *(lengths[k] for k in others)]), 1)
+            for k in reversed(others):
+                del lengths[k]
     for p in range(window.bit_length() - 1):  # a length that is a power of two needs no window of the full size
         take((1 << p,), int(left[1 << p]))
-    columns = combinations(left, window)
-    x = solve_nnls(columns, left)
-    for j in np.argsort(-x, kind="stable"):
-        take(columns[j], int(np.floor(x[j] + 1e-6)))
-    for n in range(window - 1, 0, -1):  # residuals, largest first
-        while left[n]:
-            gap, before = window - n, int(left[n])
-            if gap < window and left[gap] and (gap != n or left[n] > 1):
-                take((n, gap), before)
-            else:
-                have = np.flatnonzero(left[: gap + 1])
-                third = gap - have
-                fit = have[(third > 0) & (left[third] > 0) & (have >= third)]
-                for a in fit[::-1]:
-                    take((n, int(a), int(gap - a)), before)
-                    if not left[n]:
-                        break
-            if left[n] == before or left[n] and not left[window - n]:
-                break
-    return found, left
+    return sorted(found.items()), left
 
 
 def layout(counts: np.ndarray, window: int = WINDOW) -> tuple[list[tuple], list[tuple], int]:
