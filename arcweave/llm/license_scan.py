@@ -27,16 +27,21 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 #: label, template (sentences of the public licence texts), phrase that must stand in the matched span.
 TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "permission is hereby granted"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "substantial portions of the software"),
     ("mit", "released under the MIT license", "mit license"),
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "apache license"),
     ("apache", "Licensed under the Apache License, Version 2.0", "apache license"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", "unless required by applicable law"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3", "gnu general public license"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "general public license"),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "lesser general public license"),
     ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "affero general public license"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution and use in source"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "redistributions in binary form"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla public license"),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at", "copy of the mpl"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution"),
     ("cc-by-sa", "licensed under a Creative Commons Attribution ShareAlike 4.0 International License", "attribution sharealike"),
     ("cc-by-nc", "licensed under a Creative Commons Attribution NonCommercial 4.0 International License", "attribution noncommercial"),

@@ -279,9 +279,9 @@ def set_links(sets: list[np.ndarray], left: int | None = None) -> list[tuple[int
 
 def family_sets(members: DataFrame, docs: DataFrame, n_members: int) -> DataFrame:
     """Stored (node, root, blocks, shingles) of members (node, root, doc_id, tk, n_shingles): a node stands for the text of its first document, read again from docs. Blocks: into how many its family is dealt."""
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("n"))
     key = lambda df: df.withColumns({"none": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}).drop("doc_id")
-    wanted = key(members.join(sizes, "root").select("node", "root", "blocks", "doc_id", "tk"))
+    wanted = key(joined_by_key(members, sizes, ["root"], "n", n_members).select("node", "root", "blocks", "doc_id", "tk"))
     texts = key(docs.select("doc_id", F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text")))
     small_batches(docs.sparkSession)
 
@@ -348,8 +348,9 @@ def large_family_links(held: DataFrame, candidates: DataFrame) -> DataFrame:
     part = names.join(stars(first, "parts").withColumnsRenamed({"u": "node", "root": "part"}), "node", "left").withColumn("part", F.coalesce("part", "node"))
     part = stored(part, "family-parts")
     core = part.groupBy("root", "part").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "part")).alias("c"), F.sum("n").alias("total"))
-    core = core.select("root", F.col("c.part").alias("core"), F.col("c.n").alias("n_core"), (F.col("total") - F.col("c.n")).alias("n_loose"))
-    labelled = sets.join(part.select("node", "part"), "node").join(core, "root").withColumn("loose", F.col("part") != F.col("core"))
+    core = core.select("root", F.col("c.part").alias("core"), F.col("c.n").alias("n_core"), (F.col("total") - F.col("c.n")).alias("n_loose"), "total")
+    placed = joined_by_key(part.select("node", "root", "part"), core, ["root"], "total", part.count())
+    labelled = sets.drop("root").join(placed, "node").withColumn("loose", F.col("part") != F.col("core"))
     # Blocks of loose nodes come first; those of the core are numbered after them.
     share = F.col("blocks") / (F.col("n_core") + F.col("n_loose"))
     of = {n: F.greatest(F.ceil(F.col(f"n_{n}") * share), F.lit(1)).cast("int") for n in ("core", "loose")}

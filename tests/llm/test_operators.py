@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions
 
 pytest.importorskip("arcweave.llm")
 
@@ -68,9 +69,42 @@ def test_chunks_resynchronise(spark):
             assert token_counts.count_chunked(t, text, chunk, overlap) == len(t.encode(text, add_special_tokens=False).ids)
 
 
+def test_huge_texts_are_encoded_in_chunks(spark, monkeypatch):
+    path, t = tokenizer(token_counts.TOKENIZER)
+    encoded = []
+    monkeypatch.setattr(token_counts, "Chunk", lambda tok, text, b, e, f=token_counts.Chunk: encoded.append(e - b) or f(tok, text, b, e))
+    text = "\n".join(prose(k, 3000) for k in range(30)) + " it's <|endoftext|> e\u0301 " * 2000
+    assert token_counts.count_chunked(t, text) == len(t.encode(text, add_special_tokens=False).ids)
+    assert len(encoded) > len(text) // token_counts.CHUNK and max(encoded) <= 2 * token_counts.CHUNK
+    r = random.Random(3)
+    parts = ["a", "'", "'s", "'ll", " ", "  ", "\n", "e\u0301", "\u0301", "漢", "1", ".", "<|endoftext|>", "<|", "|>", "Σ", "😀", "x" * 50, "\u1e9b\u0323", "\x1c", "İ"]
+    for k in range(300):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 300)))
+        assert token_counts.count_chunked(t, text, 60, 7) == len(t.encode(text, add_special_tokens=False).ids), text
+
+
 # packing
 
 
+def test_ids_equal_the_library():
+    path, t = tokenizer(packing.TOKENIZER)
+    ids = packing.Ids(path)
+    r = random.Random(2)
+    latin = [*range(32, 127), *range(0xA0, 0x250), 9, 10, 13, 0x2019, 0x2026]
+    texts = [e or "" for e in EDGES] + ["".join(chr(r.choice(latin)) for _ in range(60)) for _ in range(500)] + ["".join(r.choice(["漢", "a", "\x85", "\x1c", " ", "<|endoftext|>", "é"]) for _ in range(30)) for _ in range(200)]
+    assert ids.fast and [np.frombuffer(x, dtype="<u4").tolist() for x in ids.of(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert packing.ranks_of(tokenizer(token_counts.TOKENIZER)[0]) is None  # another kind of file is left to the library
+
+
+def test_most_documents_are_packed_whole():
+    for n in (300, 3000):
+        counts = np.bincount(np.random.default_rng(n).gamma(2, 250, n).astype(int) % 2048, minlength=2048)
+        patterns, left = packing.plan(counts)
+        assert left[1:].sum() < 0.08 * n and sum(times for p, times in patterns if len(p) == 1) < 0.02 * n
+    assert sum([5, 4, 3, 3][k] for k in packing.exact_fill([5, 4, 3, 3], 10)) == 10
+    assert packing.exact_fill([5, 4], 3) is None and packing.exact_fill([], 0) == []
+
+
 def check_pieces(pieces, ids, window):
     by_doc, by_seq, pad = {}, {}, 0
     for p in pieces:
@@ -128,6 +162,7 @@ def test_quality_measures(spark, edges):
     assert quality.repeat_words("a a a a a a".split()) == 6
     assert quality.repeat_words("a b c d e f".split()) == 0
     assert quality.measure("x y\nx y\n\nx y#")[2:4] == (1, 1)
+    assert dict(zip(quality.MEASURES, quality.measure("½² ²² Äß 漢")))["n_letters"] == 3 and dict(zip(quality.MEASURES, quality.measure("ÄÖ ǅ Ⅷ")))["n_upper"] == 2
     assert quality.ledger(empty(spark)).count() == 0
 
 
@@ -177,6 +212,40 @@ def test_windows_cover_every_byte():
         assert bytes(seen) == d
 
 
+def test_blocks_of_windows_are_the_windows():
+    r = random.Random(8)
+    data = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 1, 255, 256, 257, 9000, 3, 508, 20_000, 0)]
+    x, owner, size = langid.windows_of(data)
+    for most in (1, 3, 128):
+        parts = list(langid.window_blocks(data, most))
+        assert all(len(p[0]) <= most for p in parts)
+        assert all(np.array_equal(np.concatenate(c), w) for c, w in zip(zip(*parts), (x, owner, size)))
+
+
+def test_predictions_equal_a_plain_network():
+    net = langid.train([("abab baba " * 40, "aa"), ("cdcd dcdc " * 40, "bb"), ("çéçé éçéç " * 30, "cc")], epochs=2)
+    for text in ("abba", "dcdc abab " * 80, "çé x", "a"):
+        data = text.lower().encode()
+        step = langid.WINDOW - max(langid.WIDTHS) + 1
+        total, k = np.zeros(3), 0
+        while True:
+            part = data[k : k + langid.WINDOW]
+            symbols = list(part) + [langid.PAD] * (langid.WINDOW - len(part))
+            hidden = []
+            for f in net.filters:
+                places = [sum(f[j][symbols[i + j]].astype(float) for j in range(len(f))) for i in range(langid.WINDOW - len(f) + 1)]
+                hidden += np.max(places, axis=0).tolist()
+            z = np.maximum(np.array(hidden) + net.bias, 0) @ net.out + net.out_bias
+            e = np.exp(z - z.max())
+            total += e / e.sum() * max(1, len(part))
+            if k + langid.WINDOW >= len(data):
+                break
+            k += step
+        total /= total.sum()
+        (lang, score), = net.predict([text])
+        assert lang == net.languages[int(total.argmax())] and score == pytest.approx(total.max(), abs=1e-4)
+
+
 def test_training_covers_whole_texts_and_rare_languages(spark, monkeypatch):
     texts = [("a" * 500 + "xyz" * 400, "aa")] * 2 + [(prose(k, 40), "bb") for k in range(300)] + [(f"ccc {k}", "cc") for k in range(3)]
     docs = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(texts)], "doc_id bigint, text string, lang string")
@@ -217,6 +286,49 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert toxicity.fit(none, none)[2] == 0.0
 
 
+def test_toxicity_training_equals_a_plain_version():
+    rows = [(np.unique(toxicity.Features().of(t)), y) for t, y in [("you vile thing", 1), ("a fine day", 0), ("vile vile words", 1), ("", 0), ("fine words here", 0)] * 3]
+    at, w, bias = toxicity.train(rows, 2)
+    z, n, zb, nb = {}, {}, 0.0, 0.0
+    a, b, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    weight = lambda i: 0.0 if abs(z.get(i, 0)) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((b + n[i] ** 0.5) / a + l2)
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            i, y = rows[k]
+            wb = -zb / ((b + nb**0.5) / a)
+            g = 1 / (1 + np.exp(-(sum(map(weight, i.tolist())) + wb))) - y
+            for c in i.tolist():
+                wc = weight(c)
+                z[c] = z.get(c, 0) + g - ((n.get(c, 0) + g * g) ** 0.5 - n.get(c, 0) ** 0.5) / a * wc
+                n[c] = n.get(c, 0) + g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / a * wb
+            nb += g * g
+    assert dict(zip(at.tolist(), w.tolist())) == pytest.approx({i: weight(i) for i in z if weight(i)}, rel=1e-4)
+    assert bias == pytest.approx(-zb / ((b + nb**0.5) / a))
+
+
+def test_toxicity_features_equal_a_plain_version():
+    mask, mult = (1 << 64) - 1, [int(x) for x in toxicity._mult]
+    mixed = lambda x: (x ^ x >> 29) * mult[1] & mask
+    text = "One two, two THREE four-five one"
+    words = re.findall(r"\w+", text.lower())
+    h = {w: [mixed(x) for x in toxicity._hash(w)] for w in words}
+    plain = {x >> 40 & (1 << toxicity.BITS) - 1 for w in words for x in h[w]}
+    plain |= {mixed((h[a][0] * mult[0] + h[b][0] * mult[1]) & mask) >> 40 & (1 << toxicity.BITS) - 1 for a, b in zip(words, words[1:])}
+    plain |= {mixed((h[a][0] * mult[2] + h[b][0] * mult[0] + 7) & mask) >> 40 & (1 << toxicity.BITS) - 1 for a, b in zip(words, words[2:])}
+    assert set(toxicity.Features().of(text).tolist()) == plain
+
+
+def test_toxicity_sample_is_bounded_and_texts_are_not_shuffled(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
+    found = toxicity.sample_features(docs, labels, 500)
+    assert found.count() == 500 and found.select("doc_id").distinct().count() == 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 # sharding
 
 
@@ -244,6 +356,17 @@ def test_shards_are_even_and_gapless(spark, edges):
     assert sharding.shard(empty(spark)).count() == 0
 
 
+def test_shards_prune_by_metadata(spark):
+    rows = [(k, prose(k, 1 + k % 90), f"l{k % 4}", f"s{k % 7}") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    placed = sharding.shard(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").collect()
+    for column, most in (("lang", 10), ("source", 9)):
+        shards = {}
+        for r in placed:
+            shards.setdefault(r[column], set()).add(r.shard)
+        assert np.mean([len(x) for x in shards.values()]) <= most  # of 16: a filter skips the others
+
+
 # near duplicates
 
 
@@ -287,6 +410,39 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert got == brute_components(list(enumerate(texts)))
 
 
+def test_near_duplicates_in_crowds_and_across_borders(spark):
+    passage = prose(777, 45)
+    crowd = [passage + " " + prose(1000 + k, 60) for k in range(700)]
+    r = random.Random(9)
+    pairs = []
+    for k in range(0, 700, 7):
+        w = crowd[k].split()
+        w[r.randrange(len(w))] = "changed"
+        pairs.append(" ".join(w))
+    texts = crowd + pairs
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 31)
+    try:
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(documents(spark, texts, parts=4)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_components(list(enumerate(texts)))
+
+
+def test_shared_values_are_prefixes():
+    keys = np.array([[0] + [1] * 32, [0] + [1] * 32, [0] + [1] * 8 + [2] * 24, [0] + [1] * 7 + [3] * 25, [1] + [1] * 7 + [3] * 25], dtype=np.uint8)
+    assert near_dedup.shared_values(keys).tolist() == [8, 2, 1, -1]
+    trees = near_dedup.tree_values(near_dedup.TREES, 0) + near_dedup.tree_values(near_dedup.CROWDED, 1)
+    assert all(len(set(t)) == near_dedup.VALUES for t in trees) and len({frozenset(t[:2]) for t in trees}) == len(trees)
+
+
+def test_near_duplicate_stage_keeps_null_ids_apart(spark):
+    text = prose(5, 50)
+    rows = [(None, prose(6, 50)), (-1, text), (-2, text), (0, prose(7, 50)), (None, ""), (4, None), (4, None), (5, prose(7, 50))]
+    kept = near_dedup.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert Counter(r.doc_id for r in kept) == Counter([None, None, -2, 0, 4])
+
+
 def test_near_duplicates_edges(spark, edges):
     rows = near_dedup.near_duplicates(edges).collect()
     assert len(rows) == edges.count()
@@ -329,6 +485,34 @@ def test_licenses_of_one_file_share_no_budget(spark):
     assert all(got[k] == [""] for k in range(len(texts), len(got)))
 
 
+def test_license_base_columns_and_scores_equal_brute_force(spark):
+    r = random.Random(4)
+    common = "gnu general public license apache cc by mit free software permission work terms".split()
+    texts = [" ".join(r.choice(common) for _ in range(r.randint(0, 60))) for _ in range(150)] + [prose(1, 5) + " " + t + " " + prose(2, 5) for _, t, _ in license_scan.TEMPLATES] + ["  ".join(t for _, t, _ in license_scan.TEMPLATES)]
+    rows = {x.doc_id: x for x in license_scan.scan_licenses(documents(spark, texts)).collect()}
+    templates = [(label, license_scan.words_of(t), license_scan.words_of(k)) for label, t, k in license_scan.TEMPLATES]
+    all_words = [license_scan.words_of(t) for t in texts]
+    idf = {w: np.log((len(texts) + 1) / (sum(w in set(x) for x in all_words) + 1)) + 1e-6 for _, ws, _ in templates for w in ws}
+    for k, words in enumerate(all_words):
+        places = [(s, label) for p, label in license_scan.PHRASES.items() for s in range(len(words)) if words[s : s + len(p.split())] == p.split()]
+        starts, labels, best = [s for s, _ in places], {label for _, label in places}, 1.0 if places else 0.0
+        base = ",".join(sorted(labels))
+        for label, ws, key in templates:
+            for shift in range(-len(ws), len(words)):
+                # Template words that stand at most SLACK places after where the shift puts them.
+                got = {w for i, w in enumerate(ws) if w in words[max(0, shift + i) : max(0, shift + i + license_scan.SLACK + 1)]}
+                share = sum(idf[w] for w in got) / sum(idf[w] for w in set(ws))
+                lo = max(0, shift - license_scan.SLACK)
+                span = words[lo : max(lo, shift + len(ws) + 2 * license_scan.SLACK)]
+                if share >= license_scan.SHARE and any(span[j : j + len(key)] == key for j in range(len(span))):
+                    labels.add(label)
+                    best = max(best, min(1.0, share))
+        got = rows[k]
+        assert (got.n_words, got.n_base, got.first_word, got.last_word, got.base_labels) == (len(words), len(places), min(starts, default=None), max(starts, default=None), base)
+        assert got.labels == ",".join(sorted(labels)) and got.score == pytest.approx(best), k
+    assert set(rows[len(texts) - 1].labels.split(",")) == {label for label, *_ in license_scan.TEMPLATES}
+
+
 # decontamination
 
 
@@ -355,13 +539,19 @@ def test_decontamination_equals_brute_force(spark):
         assert (got[k].n_words, got[k].n_hit, got[k].n_items, got[k].items_sha256, got[k].contaminated) == (len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)), k
 
 
-def test_decontamination_edges(spark, edges):
+def test_decontamination_edges(spark, edges, monkeypatch):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert not any(r.contaminated for r in decontam.contamination(edges, none).collect())
     assert decontam.contamination(empty(spark), none).count() == 0
     items = spark.createDataFrame([(1, prose(1, 30))], "item_id bigint, text string")
     moved = prose(1, 30).split()
     moved.insert(15, "inserted")
+    stage = decontam.decontamination_stage
+    monkeypatch.setattr(decontam, "table", lambda s, d, n: items)
+    dirty = edges.union(documents(spark, [prose(1, 30) + " tail"]).withColumn("doc_id", functions.lit(77).cast("long")))
+    kept = stage(spark, dirty, "")
+    assert kept.columns == dirty.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in edges.collect() if r.doc_id not in (6, 7))  # prose(1, 3000) begins with the item
+    assert stage(spark, empty(spark), "").count() == 0
     near = decontam.proximity_matches(documents(spark, [" ".join(moved), prose(5, 40)]), items)
     assert {(r.doc_id, r.item_id) for r in near.collect()} == {(0, 1)}
 
@@ -437,6 +627,46 @@ def test_url_states_grow_with_the_input(spark):
     assert [x.score != 0 for x in url_filter.scores(spark.createDataFrame([("abc",), ("abc",), ("~~",)], "u string"), model).orderBy("u").collect()] == [True, False]
 
 
+# columns of any name
+
+
+def odd_documents(spark, texts):
+    """Columns named like the operators' own in other letters, and like their inner names."""
+    names = ["Host", "VERDICT", "Score", "N_Words", "Labels", "Lang_Pred", "N_TOKENS", "Fail_Bits", "row", "page", "u", "k1", "tk", "none", "id", "__text", "term", "part", "rank"]
+    rows = [(k, t, "en", "src0", *names) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names)).coalesce(2)
+
+
+def test_column_names_never_clash(spark, monkeypatch):
+    path, _ = tokenizer(token_counts.TOKENIZER)
+    texts = [prose(k, 30) for k in range(6)] + [None, ""]
+    docs = odd_documents(spark, texts)
+    net = langid.fit(langid.labelled_rows(docs))
+    items = spark.createDataFrame([(1, prose(2, 30))], "item_id bigint, text string")
+    pages = docs.withColumn("url", functions.lit("http://a.org/x")).withColumn("page_id", functions.col("doc_id"))
+    outs = [
+        url_filter.judge(pages),
+        toxicity.score_texts(docs, (np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0)),
+        token_counts.count_tokens(docs, path),
+        langid.predict(docs, net),
+        sharding.shard(docs),
+        near_dedup.near_duplicates(docs),
+        quality.ledger(docs),
+        packing.pack(docs, tokenizer(packing.TOKENIZER)[0], 64),
+        license_scan.scan_licenses(docs),
+        decontam.contamination(docs, items),
+    ]
+    for k, out in enumerate(outs):
+        lower = [c.lower() for c in out.columns]
+        assert len(set(lower)) == len(lower), k
+        assert out.select("page_id" if k == 0 else "doc_id").distinct().count() == len(texts), k
+    monkeypatch.setattr(decontam, "table", lambda s, d, n: items)
+    for stage in (quality.quality_stage, langid.language_stage, near_dedup.near_duplicate_stage, decontam.decontamination_stage):
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns
+        assert all(r.Score == "Score" and r.N_Words == "N_Words" and r["row"] == "row" for r in kept.collect())
+
+
 # queries and pipeline
 
 DATA = "/root/testdata/sf0.001"
@@ -444,7 +674,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the tab
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["op6_near_duplicates", "op7_quality_rules", "op10_decontamination"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op5_hilbert_sharding", "op6_near_duplicates", "op7_quality_rules", "op10_decontamination"])
 def test_query_matches_sql(spark, name):
     import duckdb
 
@@ -453,7 +683,8 @@ def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    rows = lambda f: sorted(tuple(map(str, r)) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
+    text = lambda x: "null" if x is None or str(x) in ("nan", "<NA>", "None") else str(x)
+    rows = lambda f: sorted(tuple(map(text, r)) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
     assert rows(llm.queries()[name](spark, DATA).toPandas()) == rows(con.sql(llm.oracle_sql()[name]).df())
 
 
@@ -466,6 +697,11 @@ def test_pipeline_equals_plain_steps(spark):
     bits = lambda m: sum(quality.BITS[k] for k, rule in quality.RULES.items() if rule(lambda n: dict(zip(quality.MEASURES, m))[n]))
     kept = [d for d in docs if not bits(quality.measure(d.text)) & quality.POLICIES[quality.POLICY]]
     assert 0.6 * len(docs) < len(kept) < len(docs)
+    by_id = {d.doc_id: d for d in kept}
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    net = langid.fit(langid.labelled_rows(spark.createDataFrame([tuple(d) for d in kept], schema)))
+    known = dict(zip(by_id, net.predict([d.text for d in by_id.values()])))
+    kept = [d for d in kept if known[d.doc_id][0] != langid.UNKNOWN and known[d.doc_id][1] >= langid.KEEP_SCORE]
     comp = brute_components([(d.doc_id, d.text) for d in kept])
     kept = [d for d in kept if comp[d.doc_id][1] == d.doc_id]
     words = license_scan.words_of
@@ -475,3 +711,11 @@ def test_pipeline_equals_plain_steps(spark):
     clean = {d.doc_id: d.text for d in kept if not any(" ".join(w[s : s + n]) in grams for w in [words(d.text)] for n in sizes for s in range(len(w) - n + 1))}
     ids = {k: np.asarray(t.encode(x, add_special_tokens=False).ids + [1], dtype="<u4") for k, x in clean.items()}
     assert check_pieces(pieces, ids, packing.WINDOW) == 0
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    tokenizer(packing.TOKENIZER)
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
