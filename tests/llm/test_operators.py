@@ -62,6 +62,13 @@ def test_token_counts_equal_the_library(spark, edges):
     assert token_counts.count_tokens(empty(spark), path).count() == 0
 
 
+def test_word_memo_equals_the_library():
+    _, t = tokenizer(token_counts.TOKENIZER)
+    words = token_counts.Words(t, memo=50)
+    texts = [e or "" for e in EDGES] + [prose(k, 80) for k in range(20)] + ["e \u0301x \u2003y\x1cz\x85 it's 'S ǅ ﬁ\u00a0İ <|endoftext|>a"]
+    assert words.count([x.encode() for x in texts]) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_chunks_resynchronise(spark):
     path, t = tokenizer(token_counts.TOKENIZER)
     for text in (prose(3, 500), "x" * 3000 + " " + prose(4, 50), prose(5, 20) + "\n" * 300 + "y" * 700, "z" * 999):
