@@ -26,7 +26,7 @@ WINDOW, WIDTHS, FILTERS, PAD = 256, (2, 3, 4, 5), 16, 256
 SAMPLE, EPOCHS, STEP, RATE = 4_000, 6, 64, 0.02
 HELD_OUT, UNKNOWN = 2, "und"
 #: The pipeline keeps a document if its language is known with at least this probability.
-KEEP_SCORE = 0.4
+KEEP_SCORE = 0.5
 
 
 def has_letter(text: str) -> bool:
