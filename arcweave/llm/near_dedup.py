@@ -8,10 +8,11 @@
    spread over tasks instead of filling one. Rows at a partition's ends also meet
    those of the next partition.
 3. In such an order the longest common prefix with a row falls with the distance
-   from it. Each node looks at the next NEIGHBOURS ones, as long as DEPTH values
-   are shared: in sparse regions that is everything at the smallest depth, in dense
-   ones the depth rises with the region until so many fit. A neighbour counts if
-   the sketches agree well enough for the similarity to be in reach.
+   from it. Each node looks at the next NEIGHBOURS ones that share DEPTH values, at
+   twice as many that share one more, and so on up to whole keys: in sparse regions
+   that is everything at the smallest depth, in dense ones the depth rises with the
+   region. A neighbour counts if the sketches agree well enough for the similarity
+   to be in reach.
 4. Nodes of regions that are denser at DEPTH than NEIGHBOURS are sorted again, by
    CROWDED further orders made of other values of their signatures.
 5. Candidate links make families (connected components). A chain of candidates
@@ -42,8 +43,8 @@ SHINGLE, PERCENT = 5, 75
 #: Trees, signature values of each, and values that neighbours must share at least. At similarity s and depth 2 a pair shares no tree with probability (1 - s*s)**TREES: 5e-5 at 0.75.
 TREES, VALUES, DEPTH = 12, 8, 2
 NEIGHBOURS = 24
-#: Further orders for nodes of crowded regions.
-CROWDED = 24
+#: Further orders for nodes of crowded regions, and rows of an order that are looked at together.
+CROWDED, TOGETHER = 24, 8192
 #: Bytes of a sketch, and how many must agree: 0.75 agree on the mean, with a standard deviation of 0.054.
 SKETCH, AGREE = 64, 35
 #: Sets compared at once, and their shingles (8 bytes each) on the mean.
@@ -129,42 +130,71 @@ def find(parent: list[int], k: int) -> int:
 def shared_values(keys: np.ndarray) -> np.ndarray:
     """Of each row and the next one: how many of the tree's leading values are equal (-1: another tree). A key is the tree's number and VALUES values of 4 bytes."""
     same = keys[1:] == keys[:-1]
-    values = same[:, 1:].reshape(len(same), -1, 4).all(axis=2)
+    values = same[:, 1:].reshape(len(same), (keys.shape[1] - 1) // 4, 4).all(axis=2)
     return np.where(same[:, 0], np.logical_and.accumulate(values, axis=1).sum(axis=1), -1)
 
 
-def neighbour_links(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (a, b) between sorted rows and the crowded rows' nodes. A row is linked with the next NEIGHBOURS that share DEPTH values and AGREE sketch bytes; of each set of linked rows only a spanning forest of the best agreeing pairs is returned. A row is crowded if it is in a region of DEPTH that reaches beyond NEIGHBOURS rows."""
-    edges, crowded = [], np.zeros(len(nodes), dtype=bool)
-    shared = shared_values(keys)  # of rows i and i + step once step is reached: the least on the way
-    for step in range(1, min(NEIGHBOURS, len(nodes) - 1) + 1):
-        if step > 1:
-            shared = np.minimum(shared[:-1], first[step - 1 :])
-        else:
-            first = shared
-        near = np.flatnonzero(shared >= DEPTH)
-        if not len(near):
-            break
-        for k in range(0, len(near), 8192):
-            part = near[k : k + 8192]
+def reach(depth: int) -> int:
+    """How many places apart rows that share so many values are still neighbours."""
+    return NEIGHBOURS << depth - DEPTH
+
+
+def neighbour_links(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray, seen: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b) between sorted rows and the crowded rows' nodes; of the first ``seen`` rows, pairs among themselves are left out.
+
+    A row is linked with those of the next ones that share enough values for their distance and agree in AGREE sketch bytes. Of each set of linked rows only a spanning forest is returned: first of the best agreeing pairs up to NEIGHBOURS places apart, then of pairs that it leaves apart. A row is crowded if it is in a region of DEPTH that goes beyond NEIGHBOURS rows."""
+    n = len(nodes)
+    crowded, found, label = np.zeros(n, dtype=bool), [], np.arange(n)
+    first = shared_values(keys)
+    rows, shared, edges = np.arange(max(0, n - 1)), first, []
+    depth, step = DEPTH, 0
+
+    def agreeing(at: np.ndarray) -> Iterator[np.ndarray]:
+        """(row, later row, agreement) of rows whose sketch is near enough to that ``step`` places later."""
+        at = at[at + step >= seen]
+        for k in range(0, len(at), 8192):
+            part = at[k : k + 8192]
             agree = (sketches[part] == sketches[part + step]).sum(axis=1)
             good = agree >= AGREE
-            edges.append(np.stack([part[good], part[good] + step, agree[good]]))
+            yield np.stack([part[good], part[good] + step, agree[good]])
+
+    def linked(pairs: np.ndarray) -> None:
+        for x, y, _ in pairs.T.tolist():
+            low, high = sorted((label[x], label[y]))
+            if low != high:
+                label[label == high] = low
+                found.append((x, y))
+
+    while len(rows):
+        step += 1
+        if step > reach(depth):
+            depth += 1
+            if depth > VALUES:
+                break
+        inside = rows + step < n
+        rows, shared = rows[inside], shared[inside]
+        shared = np.minimum(shared, first[rows + step - 1])
+        deep = shared >= depth
+        rows, shared = rows[deep], shared[deep]
+        if step <= NEIGHBOURS:
+            edges += agreeing(rows)
         if step == NEIGHBOURS:
-            crowded[near] = True
-            for k in range(1, NEIGHBOURS + 1):
-                crowded[near + k] = True
-    if not edges:
-        return nodes[:0], nodes[:0], nodes[:0]
-    a, b, agree = np.concatenate(edges, axis=1)
-    best = np.argsort(-agree, kind="stable")
-    parent, keep = list(range(len(nodes))), []
-    for e, x, y in zip(best.tolist(), a[best].tolist(), b[best].tolist(), strict=True):
-        x, y = find(parent, x), find(parent, y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            keep.append(e)
-    return nodes[a[keep]], nodes[b[keep]], nodes[crowded]
+            for k in range(NEIGHBOURS + 1):
+                crowded[rows + k] = True
+        if edges and (step == NEIGHBOURS or not len(rows)):
+            best = np.concatenate(edges, axis=1)
+            parent = list(range(n))
+            for x, y, _ in best[:, np.argsort(-best[2], kind="stable")].T.tolist():
+                rx, ry = find(parent, x), find(parent, y)
+                if rx != ry:
+                    parent[max(rx, ry)] = min(rx, ry)
+                    found.append((x, y))
+            label, edges = np.array([find(parent, k) for k in range(n)]), []
+        if step > NEIGHBOURS:
+            for pairs in agreeing(rows[label[rows] != label[rows + step]]):
+                linked(pairs)
+    a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
+    return nodes[a], nodes[b], nodes[crowded]
 
 
 def tree_values(trees: int, offset: int) -> list[list[int]]:
@@ -203,27 +233,38 @@ def sorted_links(nodes: DataFrame, values: list[list[int]], what: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, held, head = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            now = (
-                np.frombuffer(b"".join(batch.column("key").to_pylist()), dtype=np.uint8).reshape(n, -1),
-                batch.column("node").to_numpy(zero_copy_only=False),
-                np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, SKETCH),
-            )
+        part, held, head, seen = TaskContext.get().partitionId(), None, 0, 0
+
+        def blocks() -> Iterator[tuple]:
+            """Rows as (keys, nodes, sketches), TOGETHER or more at once."""
+            group, n = [], 0
+            for batch in batches:
+                if batch.num_rows:
+                    group.append(batch)
+                    n += batch.num_rows
+                if n >= TOGETHER:
+                    yield arrays(group, n)
+                    group, n = [], 0
+            if n:
+                yield arrays(group, n)
+
+        def arrays(group: list[pa.RecordBatch], n: int) -> tuple:
+            key, sketch = (np.frombuffer(b"".join(x for g in group for x in g.column(c).to_pylist()), dtype=np.uint8).reshape(n, -1) for c in ("key", "sketch"))
+            return key, np.concatenate([g.column("node").to_numpy(zero_copy_only=False) for g in group]), sketch
+
+        for now in blocks():
             if head < NEIGHBOURS and part:  # the first rows of a partition stand at the border before it
                 yield ends(part - 1, tuple(x[: NEIGHBOURS - head] for x in now))
-                head += min(n, NEIGHBOURS - head)
-            if held is not None:  # the last rows of the batch before meet the first of this one
+                head += min(len(now[1]), NEIGHBOURS - head)
+            if held is not None:  # the last rows of the block before meet those of this one
+                seen = len(held[1])
                 now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-            a, b, crowded = neighbour_links(*now)
+            a, b, crowded = neighbour_links(*now, seen)
             yield rows(LINK, a, b)
             yield rows(NODE, crowded, crowded)
-            held = tuple(x[-NEIGHBOURS:] for x in now)
+            held = tuple(x[-reach(VALUES) :] for x in now)
         if held is not None:
-            yield ends(part, held)
+            yield ends(part, tuple(x[-NEIGHBOURS:] for x in held))
 
     found = stored(ordered.mapInArrow(run, "kind int, a long, b long, key binary, sketch binary"), what)
 

@@ -443,6 +443,25 @@ def test_shared_values_are_prefixes():
     assert all(len(set(t)) == near_dedup.VALUES for t in trees) and len({frozenset(t[:2]) for t in trees}) == len(trees)
 
 
+def test_neighbours_in_dense_regions_share_longer_prefixes():
+    r = np.random.default_rng(3)
+    n, width = 400, 4 * near_dedup.VALUES
+    keys = np.ones((n, 1 + width), dtype=np.uint8)
+    keys[:, 1 + 4 * 3 :] = np.sort(r.integers(0, 200, (n, 1)), axis=0)  # all share three values
+    keys[50:300] = keys[50]  # and these all eight
+    sketches = r.integers(0, 256, (n, near_dedup.SKETCH)).astype(np.uint8)
+    near_dedup_pairs = [(60, 260, True), (0, 40, True), (0, 390, False), (310, 395, False), (5, 20, True)]
+    for a, b, _ in near_dedup_pairs:
+        sketches[b] = sketches[a]
+    for seen in (0, 250):
+        a, b, crowded = near_dedup.neighbour_links(keys, np.arange(n), sketches, seen)
+        pairs = set(zip(a.tolist(), b.tolist()))
+        assert all(((x, y) in pairs) == (yes and y >= seen) for x, y, yes in near_dedup_pairs)
+        assert len(crowded) == n
+    empty_links = near_dedup.neighbour_links(keys[:1], np.arange(1), sketches[:1])
+    assert [len(x) for x in empty_links] == [0, 0, 0]
+
+
 def test_near_duplicate_stage_keeps_null_ids_apart(spark):
     text = prose(5, 50)
     rows = [(None, prose(6, 50)), (-1, text), (-2, text), (0, prose(7, 50)), (None, ""), (4, None), (4, None), (5, prose(7, 50))]
