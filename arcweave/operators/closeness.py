@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.functions.sketch import estimate, merge_agg, merged, singleton
-from arcweave.operators.degree import above, top_k, undirected, vertices
+from arcweave.operators.degree import above, top_k, undirected
 from arcweave.plans.state import Buckets, State
 
 FLOOR = 0.3
@@ -17,9 +17,12 @@ def closeness(nodes: DataFrame, arcs: DataFrame, max_iterations: int = 10) -> Da
 
     n counts the vertices at an arc. A vertex whose estimate doesn't change in a step keeps its old sketch. Stops early when no estimate changes: every later step would be the same."""
     spark = nodes.sparkSession
-    n = vertices(arcs).count()
+    both_ways = State(spark, "closeness-both-ways")
+    pairs = both_ways.store(undirected(arcs))
+    n = pairs.select("src").distinct().count()
     # Bucketed by the end that is heard once: a step exchanges sketches, never edges.
-    edges = Buckets(undirected(arcs), "closeness-edges", "dst", "src")
+    edges = Buckets(pairs, "closeness-edges", "dst", "src")
+    both_ways.clear()
     state = State(spark, "closeness-state")
     current = state.store(nodes.select("id").distinct().withColumn("sketch", singleton(F.col("id"))).select("id", "sketch", estimate(F.col("sketch")).alias("seen"), F.lit(0.0).alias("total"), F.lit(True).alias("changed")))
     for step in range(1, max_iterations + 1):

@@ -42,12 +42,16 @@ def pagerank(pages: DataFrame, links: DataFrame, beta: float = BETA, epsilon: fl
     if not strict:
         known = pages.select("id")
         links = links.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    out = degrees(links, "src").select(F.col("id").alias("src"), F.col("degree").alias("out"))
+    kept, counted = State(spark, "pagerank-arcs"), State(spark, "pagerank-out")
+    links = kept.store(links.select("src", "dst"))
+    out = counted.store(degrees(links, "src").select(F.col("id").alias("src"), F.col("degree").alias("out")))
     # Bucketed by source once: a step exchanges ranks and sums, never links.
-    linked = Buckets(links.join(out, "src").select("src", "dst", "out"), "pagerank-links", "src", "dst")
+    linked = Buckets(links.join(out, "src").select("src", "dst", "out"), "pagerank-links", "src", "dst", sizes=out.withColumnRenamed("out", "size"))
     ranks = State(spark, "pagerank-ranks")
     first = pages.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("sink"), F.lit(1.0 / n).alias("value"), F.lit(True).alias("moved"))
     current = ranks.store(first)
+    kept.clear()
+    counted.clear()
     for _ in range(max_iterations):
         lost = current.where("sink").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("lost"))  # one row
         sent = linked.joined(current.select(F.col("id").alias("src"), "value")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") / F.col("out")).alias("sent"))

@@ -64,14 +64,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 class Buckets:
     """A table stored in buckets by its key, so that joins on the key exchange the other side only.
 
-    A key of more than HUB rows is dealt over several parts by a hash of ``other``; a row of the other side is sent once to each part of its key, so a hub is never one task's. ``parts`` has a row a split key."""
+    A key of more than HUB rows is dealt over several parts by a hash of ``other``; a row of the other side is sent once to each part of its key, so a hub is never one task's. ``parts`` has a row a split key. ``sizes`` (key, size) saves counting the rows of each key."""
 
-    def __init__(self, df: DataFrame, what: str, key: str, other: str, hub: int | None = None) -> None:
+    def __init__(self, df: DataFrame, what: str, key: str, other: str, hub: int | None = None, sizes: DataFrame | None = None) -> None:
         spark = self.spark = df.sparkSession
         hub = hub or HUB
         self.key, self.name, self.path = key, f"{what.replace('-', '_')}_{uuid.uuid4().hex}", shared_path(spark, what)
-        count = df.groupBy(key).agg(F.count("*").alias("size")).where(F.col("size") > hub)
-        self.parts = stored(count.select(key, F.ceil(F.col("size") / hub).cast("int").alias("parts")), f"{what}-hubs")
+        sizes = df.groupBy(key).agg(F.count("*").alias("size")) if sizes is None else sizes
+        self.parts = stored(sizes.where(F.col("size") > hub).select(key, F.ceil(F.col("size") / hub).cast("int").alias("parts")), f"{what}-hubs")
         self.split = not self.parts.isEmpty()
         self.keys = [key, "part"] if self.split else [key]
         if self.split:
