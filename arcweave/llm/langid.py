@@ -22,7 +22,7 @@ from arcweave.llm.common import columns_without, doc_fold, small_batches, table,
 
 #: Bytes of a window, filter widths, filters of each width, and the symbol that pads.
 WINDOW, WIDTHS, FILTERS, PAD = 256, (2, 3, 4, 5), 16, 256
-#: Labelled rows to train on at most, passes, windows a step, step size.
+#: Labelled rows to train on at most, passes, windows a step, step size at the start (it falls to nothing along a line).
 SAMPLE, EPOCHS, STEP, RATE = 4_000, 6, 64, 0.02
 HELD_OUT, UNKNOWN = 2, "und"
 #: The pipeline keeps a document if its language is known with at least this probability.
@@ -148,7 +148,7 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Network:
     x_all, owner, _ = windows_of(data)
     y_all = np.array(labels)[owner]
     state = [[np.zeros_like(a), np.zeros_like(a)] for a in (*net.filters, net.bias, net.out, net.out_bias)]
-    t = 0
+    t, steps = 0, epochs * -(-len(y_all) // STEP)
     for _ in range(epochs):
         order = random.permutation(len(y_all))
         for k in range(0, len(order), STEP):
@@ -167,11 +167,12 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Network:
                     np.add.at(g[j], (np.take_along_axis(x, where + j, axis=1), np.arange(FILTERS)[None, :]), own)
                 grads.append(g)
             grads += [back.sum(axis=0), hidden.T @ d, d.sum(axis=0)]
+            rate = RATE * (1 - t / steps)
             t += 1
             for a, g, (m, v) in zip((*net.filters, net.bias, net.out, net.out_bias), grads, state, strict=True):  # Adam
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                a -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+                a -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return net
 
 
