@@ -51,8 +51,8 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("proprietary", "All rights reserved. Unauthorized copying of this file, via any medium is strictly prohibited", "all rights reserved"),
 ]
-#: Places that a posting may be off, share of a template's IDF that must agree.
-SLACK, SHARE = 3, 0.6
+#: Places that a posting may be off, share of a template's IDF that must agree, relative positions that are looked at together.
+SLACK, SHARE, BLOCK = 3, 0.6, 8192
 
 _word = re.compile(ALNUM_WORD)
 
@@ -80,22 +80,41 @@ class Index:
         self.sums = [{w: self.idf[w] for w in ws} for ws in self.words]
         self.mass = [sum(x.values()) for x in self.sums]
 
-    def scan(self, words: list[str]) -> tuple[set[str], float]:
-        """Labels of the templates that stand in the words, and the largest share of a template's IDF found in place."""
-        present = self.vocabulary.intersection(words)
-        within = {t for t, mass in enumerate(self.mass) if self.sums[t].keys() & present and sum(self.sums[t][w] for w in self.sums[t].keys() & present) >= SHARE * mass}
-        if not within:  # no template has enough of its IDF anywhere in the file
+    def scan(self, words: list[str], block: int = BLOCK) -> tuple[set[str], float]:
+        """Labels of the templates that stand in the words, and the largest share of a template's IDF found in place.
+
+        Relative positions are taken ``block`` at a time, each time with all the words that can agree on them, so postings of a very long text are never held at once."""
+        longest = max(map(len, self.words), default=0)
+        labels, best = set(), 0.0
+        if self.within(self.vocabulary.intersection(words)):
+            for begin in range(-longest, len(words), block):
+                found, share = self.scan_block(words, begin, begin + block, longest)
+                labels |= found
+                best = max(best, share)
+        return labels, min(1.0, best)
+
+    def within(self, present: frozenset[str]) -> set[int]:
+        """Templates that these words can give enough IDF."""
+        shared = ((t, own.keys() & present) for t, own in enumerate(self.sums))
+        return {t for t, ws in shared if ws and sum(self.sums[t][w] for w in ws) >= SHARE * self.mass[t]}
+
+    def scan_block(self, words: list[str], begin: int, end: int, longest: int) -> tuple[set[str], float]:
+        """``scan`` for templates that begin at a relative position from ``begin`` to before ``end``."""
+        first, last = max(0, begin), max(0, min(len(words), end + longest + SLACK))
+        present = self.vocabulary.intersection(words[first:last])
+        within = self.within(present)
+        if not within:
             return set(), 0.0
         postings = {w: here for w in present if (here := [(t, p) for t, p in self.postings[w] if t in within])}
         at: dict[int, dict[int, set[str]]] = defaultdict(lambda: defaultdict(set))
-        for k, w in enumerate(words):
-            if w in postings:
+        for k in range(first, last):
+            if (w := words[k]) in postings:
                 for t, p in postings[w]:
                     at[t][k - p].add(w)
         labels, best = set(), 0.0
         for t, shifts in at.items():
             share = 0.0
-            for s in shifts:
+            for s in [s for s in shifts if begin <= s < end]:
                 near = set().union(*(shifts.get(s + e, ()) for e in range(SLACK + 1)))
                 got = sum(self.idf[w] for w in near) / self.mass[t]
                 if got > share and got >= SHARE and self.verified(t, words, s):
@@ -103,7 +122,7 @@ class Index:
             if share:
                 labels.add(self.labels[t])
                 best = max(best, share)
-        return labels, min(1.0, best)
+        return labels, best
 
     def verified(self, t: int, words: list[str], shift: int) -> bool:
         key, lo = self.keys[t], max(0, shift - SLACK)

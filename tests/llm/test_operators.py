@@ -539,6 +539,21 @@ def test_license_base_columns_and_scores_equal_brute_force(spark):
     assert set(rows[len(texts) - 1].labels.split(",")) == {label for label, *_ in license_scan.TEMPLATES}
 
 
+def test_license_scan_in_blocks_is_the_scan():
+    r, templates = random.Random(8), license_scan.TEMPLATES
+    index = license_scan.Index(templates)
+    index.weigh({w: 3 * k for k, w in enumerate(sorted(index.vocabulary))}, 1000)
+    for k in range(60):
+        some = [license_scan.words_of(t[1]) for t in r.sample(templates, 3)]
+        for ws in some:
+            for _ in range(r.randint(0, 6)):
+                ws[r.randrange(len(ws))] = r.choice(["the", "x", "software"])
+        words = [w for ws in some for w in license_scan.words_of(prose(k, r.randint(0, 20))) + ws]
+        for n in (1, 7, 50):
+            assert index.scan(words, n) == index.scan(words), (k, n)
+    assert index.scan([], 5) == (set(), 0.0)
+
+
 # decontamination
 
 
