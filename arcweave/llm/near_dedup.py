@@ -50,7 +50,7 @@ SKETCH, AGREE = 64, 35
 #: Sets compared at once, and their shingles (8 bytes each) on the mean.
 BLOCK, BLOCK_SHINGLES = 256, 4_000_000
 #: Words that a worker remembers.
-MEMO = 400_000
+MEMO = 100_000
 
 _word = re.compile(SPACED_WORD)
 _powers = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(16)], dtype=np.uint64)
@@ -184,11 +184,13 @@ def neighbour_links(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray, s
         if edges and (step == NEIGHBOURS or not len(rows)):
             best = np.concatenate(edges, axis=1)
             parent = list(range(n))
-            for x, y, _ in best[:, np.argsort(-best[2], kind="stable")].T.tolist():
-                rx, ry = find(parent, x), find(parent, y)
-                if rx != ry:
-                    parent[max(rx, ry)] = min(rx, ry)
-                    found.append((x, y))
+            order = np.argsort(-best[2], kind="stable")
+            for k in range(0, len(order), 8192):
+                for x, y in best[:2, order[k : k + 8192]].T.tolist():
+                    rx, ry = find(parent, x), find(parent, y)
+                    if rx != ry:
+                        parent[max(rx, ry)] = min(rx, ry)
+                        found.append((x, y))
             label, edges = np.array([find(parent, k) for k in range(n)]), []
         if step > NEIGHBOURS:
             for pairs in agreeing(rows[label[rows] != label[rows + step]]):

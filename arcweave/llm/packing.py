@@ -33,6 +33,8 @@ from arcweave.llm.common import small_batches, stored, table
 TOKENIZER, WINDOW, END_ID = "byte_bpe_50k.json", 2048, 1
 #: Lengths of a combination at most, combinations that start with each length in a round, rounds, and documents below which combinations aren't solved for.
 DEEPEST, EACH, ROUNDS, FEW = 6, 4, 12, 64
+#: Texts that the tokenizers library encodes in one call; what it returns takes far more memory than the ids.
+CALL = 32
 #: Characters outside of this range, or a special string's beginning, send a text to the tokenizers library itself.
 _other = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\u024f\u2010-\u2026]|<\|")
 
@@ -78,8 +80,10 @@ class Ids:
             if self.fast and not _other.search(t):
                 out[k] = np.asarray(self.fast.encode_ordinary(t), dtype="<u4").tobytes()
         rest = [k for k, x in enumerate(out) if x is None]
-        for k, e in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = np.asarray(e.ids, dtype="<u4").tobytes()
+        for at in range(0, len(rest), CALL):
+            part = rest[at : at + CALL]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([texts[k] for k in part], add_special_tokens=False), strict=True):
+                out[k] = np.asarray(e.ids, dtype="<u4").tobytes()
         return out
 
 
