@@ -8,7 +8,7 @@
    least-squares problem  A x ~ counts  for their repeats, rounds them, and solves
    again for what is left, with fresh combinations.
 3. Residuals are packed greedily, the longest first, with lengths that fill its
-   window exactly. Documents that nothing fills a window with are few; only they
+   window exactly, all documents of such a fill at once. Documents that nothing fills a window with are few; only they
    are cut, into powers of two, which laid out in falling order leave no gap.
 4. The plan maps (length, rank within the length) to (sequence, offset) by
    arithmetic; it is bounded by the window, so it is broadcast. Ranks come from
@@ -245,15 +245,23 @@ def plan(counts: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[tuple[int
             placed += take(columns[j], max(1, round(x[j])))
         if placed < total // 20:
             break
-    # Residuals: the longest first, each with others that fill its window exactly.
-    lengths = np.repeat(np.arange(window), left)[::-1].tolist()
-    while lengths:
-        first, lengths = lengths[0], lengths[1:]
-        others = exact_fill(lengths, window - first)
-        if others is not None:
-            take(tuple([first, *(lengths[k] for k in others)]), 1)
-            for k in reversed(others):
-                del lengths[k]
+    # Residuals: the longest first, with others that fill its window exactly. A fill holds no length more often than it fits
+    # and is taken as often as its lengths last, which uses one up: the work depends on the window, not on how many are left.
+    hopeful, most = left.copy(), window // np.maximum(np.arange(window), 1)
+    while hopeful.any():
+        first = int(np.flatnonzero(hopeful)[-1])
+        others = hopeful.copy()
+        others[first] -= 1
+        lengths = np.repeat(np.arange(window), np.minimum(others, most))[::-1].tolist()
+        places = exact_fill(lengths, window - first)
+        if places is None:  # nor do the others of this length, with fewer to choose from
+            hopeful[first] = 0
+            continue
+        pattern = (first, *(lengths[k] for k in places))
+        times = min(int(hopeful[n]) // pattern.count(n) for n in set(pattern))
+        take(pattern, times)
+        for n in pattern:
+            hopeful[n] -= times
     for p in range(window.bit_length() - 1):  # a length that is a power of two needs no window of the full size
         take((1 << p,), int(left[1 << p]))
     return sorted(found.items()), left

@@ -112,6 +112,19 @@ def test_most_documents_are_packed_whole():
     assert packing.exact_fill([5, 4], 3) is None and packing.exact_fill([], 0) == []
 
 
+def test_plan_does_not_search_once_for_every_document(monkeypatch):
+    counts, searches, search = np.zeros(256, dtype=np.int64), [], packing.exact_fill
+    counts[100:250], counts[1:30] = 400, 30  # far more long ones than fit with others
+    monkeypatch.setattr(packing, "exact_fill", lambda lengths, gap: (searches.append(gap), search(lengths, gap))[1] if len(searches) < 2 * 256 else pytest.fail("too many searches"))
+    patterns, left = packing.plan(counts, 256)
+    used = Counter()
+    for p, times in patterns:
+        assert sum(p) == 256 or len(p) == 1
+        for n in p:
+            used[n] += times
+    assert all(used[n] + left[n] == counts[n] for n in range(1, 256))
+
+
 def check_pieces(pieces, ids, window):
     by_doc, by_seq, pad = {}, {}, 0
     for p in pieces:
