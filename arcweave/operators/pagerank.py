@@ -31,6 +31,13 @@ def sink_link_counts(pages: DataFrame, links: DataFrame) -> DataFrame:
     return sinks(pages, links).select(F.col("id").alias("src")).crossJoin(F.broadcast(n))
 
 
+def sink_link_sums(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, links, sum_dst, min_dst, max_dst): sums over each sink's links in ``sink_links``, without building them, as all sinks link to the same pages. A sink that is in ``pages`` k times has k links to each."""
+    all_pages = pages.agg(F.count("*").alias("links"), F.sum("id").alias("sum_dst"), F.min("id").alias("min_dst"), F.max("id").alias("max_dst"))  # one row
+    copies = sinks(pages, links).groupBy(F.col("id").alias("src")).agg(F.count("*").alias("copies"))
+    return copies.crossJoin(F.broadcast(all_pages)).select("src", *((F.col("copies") * F.col(c)).alias(c) for c in ("links", "sum_dst")), "min_dst", "max_dst")
+
+
 def pagerank(pages: DataFrame, links: DataFrame, beta: float = BETA, epsilon: float = EPSILON, max_iterations: int = 10, fixed: bool = False, keep_unlinked: bool = True, strict: bool = False) -> DataFrame:
     """(id, value). Stops when no rank moves by more than epsilon, or after ``max_iterations`` steps (always all of them if ``fixed``).
 

@@ -119,16 +119,10 @@ def converted(s: SparkSession, a: DataFrame) -> DataFrame:
     return text.read_lines(s, out).withColumn("lines", F.lit(n))
 
 
-def sink_sums(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """Sums over the links of every sink to every page."""
-    made = pr.sink_links(pages, links)
-    return made.groupBy("src").agg(F.count("*").alias("links"), F.sum("dst").alias("sum_dst"), F.min("dst").alias("min_dst"), F.max("dst").alias("max_dst"))
-
-
 def queries_over(graph: Graph) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries that run over the whole and over the sparse graph."""
     return {
-        "sinks_cross_sums": lambda s, d: sink_sums(nodes(s, d).select("id"), graph(s, d)),
+        "sinks_cross_sums": lambda s, d: pr.sink_link_sums(nodes(s, d).select("id"), graph(s, d)),
         "linerank_converged": lambda s, d: rounded(lr.linerank(lr.numbered(graph(s, d)))),
         "arc_reader": lambda s, d: text.parse(arc_lines(graph(s, d)), text.ARC),
         "link_reader_tab": lambda s, d: tab_links(graph(s, d)),

@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from arcweave.functions import sketch
 from arcweave.operators import closeness, components, degree, linerank, pagerank
-from arcweave.plans import cli, state
+from arcweave.plans import cli, queries, state
 from arcweave.plans.state import Buckets, State
 from arcweave.sources import text
 
@@ -80,6 +81,23 @@ def test_sink_links(arcs, nodes):
     assert rows(pagerank.sink_link_counts(nodes.select("id"), arcs)) == [(5, 5)]
 
 
+def test_sink_link_sums_build_no_links(spark, arcs, nodes):
+    pages = nodes.select("id").union(spark.createDataFrame([(5,), (9,), (None,)], "id long"))
+    made = pagerank.sink_links(pages, arcs).groupBy("src").agg(F.count("*"), F.sum("dst"), F.min("dst"), F.max("dst"))
+    sums = pagerank.sink_link_sums(pages, arcs)
+    assert rows(sums.na.fill(-1)) == rows(made.na.fill(-1)) and sums.where("src = 5").first() == (5, 16, 58, 1, 9)
+    assert rows(pagerank.sink_link_sums(pages.limit(0), arcs)) == []
+
+
+def test_sums_over_more_sink_links_than_can_be_built(spark, tmp_path):
+    n = 300_000  # 9e10 links
+    spark.range(n).select(F.col("id").alias("p_partkey"), F.lit("").alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
+    items = spark.createDataFrame([(1, k, k, 50.0) for k in range(5)], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    sums = queries.QUERIES["sinks_cross_sums_sparse"](spark, str(tmp_path))
+    assert sums.agg(F.count("*"), F.min("links"), F.max("links"), F.min("sum_dst"), F.max("max_dst")).first() == (n - 4, n, n, n * (n - 1) // 2, n - 1)
+
+
 def test_pagerank_without_sinks_and_with_unknown_ends(spark, nodes):
     ring = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "src bigint, dst bigint")
     three = nodes.where("id < 4").select("id")
